@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from chronicle.llm.decontaminate import op10_decontaminate
+from chronicle.llm.fingerprints import op5_fingerprints
+from chronicle.llm.html_text import op2_html_text
+from chronicle.llm.language_id import op1_language_id
 from chronicle.llm.line_dedup import OP6_SQL, op6_line_dedup
 from chronicle.llm.piece_codec import op3_sentencepiece
 from chronicle.llm.sharding import op7_sharding
 from chronicle.llm.simhash_dedup import op8_simhash
+from chronicle.llm.substring_dedup import op9_substring_dedup
+from chronicle.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_html_text": op2_html_text,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL = {"op6_line_dedup": OP6_SQL}

@@ -133,20 +133,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             row = end
 
 
-def minimisers(order: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` places, the place of its smallest ``order``.
-
-    The last of equals wins.  Place i of the result belongs to the window that
-    begins at i; ``usable`` says which windows lie in one text.
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by doubling."""
+    if len(x) < width:
+        return x[:0]
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def shared_windows(words: Words, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window hash, key, place) of every window of ``size`` words that lies in one text.
+
+    A window's key is the hash of a part of it, ``size - width + 1`` words long: of
+    its ``width`` parts the one with the least hash, its minimiser.  The choice
+    depends on the window's words alone, so equal windows have equal keys.
     """
-    n = len(order) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    at = np.arange(n, dtype=np.int64)
-    least = order[:n].copy()
-    for shift in range(1, width):
-        other = order[shift : shift + n]
-        better = other <= least
-        least[better] = other[better]
-        at[better] = np.flatnonzero(better) + shift
-    return np.where(usable[:n], at, -1)
+    full = words.windows(size, BASES[2])
+    keys = sliding_min(words.windows(size - width + 1), width)[: len(full)]
+    place = np.flatnonzero(words.inside(size))
+    return full[place], keys[place], place
