@@ -1,0 +1 @@
+"""Personal event history on Spark: sources, canonical events, episodes, provenance, retrieval."""
