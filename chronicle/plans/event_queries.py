@@ -136,15 +136,16 @@ def x12_content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x13_verify",
-    """SELECT CAST(event_id AS VARCHAR) AS id, event_type <> 'click' AS intact FROM events
-UNION ALL SELECT 'unknown' || n_nationkey, NULL FROM nation""",
+    """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'click' THEN 'yes' ELSE 'no' END AS intact FROM events
+UNION ALL SELECT 'unknown' || n_nationkey, 'unknown' FROM nation""",
 )
 def x13_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks are changed after they were hashed."""
     e = views.events(spark, sf_dir)
     changed = e.withColumn("content", F.when(F.col("content") == "click", "clack").otherwise(F.col("content")))
     ids = e.select("id").union(views.table(spark, sf_dir, "nation").select(F.concat(F.lit("unknown"), F.col("n_nationkey").cast("string"))))
-    return upsert.verify(changed, ids)
+    shown = F.when(F.col("intact"), "yes").when(~F.col("intact"), "no").otherwise("unknown")
+    return upsert.verify(changed, ids).select("id", shown.alias("intact"))
 
 
 @query("x3_apple_time", "SELECT event_id, epoch_us(ts) AS micros, CAST((CAST(epoch_us(ts) AS DOUBLE) / 1e6 - 978307200.0) * 1e9 AS BIGINT) // 1000000 AS key_ms FROM events")

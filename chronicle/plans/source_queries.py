@@ -74,13 +74,13 @@ def f8_unknown_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "t9_reply_chain",
     f"""WITH {_RENDER}, k AS (SELECT * FROM r WHERE role IN ('user', 'assistant') AND content <> '')
-SELECT a.conv_id, a.turn, b.turn AS parent_turn FROM k a LEFT JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1""",
+SELECT a.conv_id, a.turn, coalesce(b.turn, -1) AS parent_turn FROM k a LEFT JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1""",
 )
 def t9_reply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = chats.events(views.chat_export(spark, sf_dir))
     turn = F.substring_index("raw_ref", "#m", -1).cast("bigint")
     child = e.select(F.col("thread_id").cast("bigint").alias("conv_id"), turn.alias("turn"), chats.reply_event_id(F.col("thread_id"), F.col("reply_to")).alias("parent"))
-    return child.join(e.select(F.col("id").alias("parent"), turn.alias("parent_turn")), "parent", "left").select("conv_id", "turn", "parent_turn")
+    return child.join(e.select(F.col("id").alias("parent"), turn.alias("parent_turn")), "parent", "left").select("conv_id", "turn", F.coalesce("parent_turn", F.lit(-1).cast("bigint")).alias("parent_turn"))
 
 
 _KEY = "(l_orderkey || '-' || l_linenumber || '-' || l_partkey)"
