@@ -29,7 +29,7 @@ from chronicle.llm.words import slices, split_words
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints compared as a block; tiles that the distinct ones form at most; least size of a tile.
-BLOCK, TILES, LEAST_TILE = 256, 64, 8192
+BLOCK, TILES, LEAST_TILE = 256, 32, 256
 _QUARTERS = np.uint64(16) * np.arange(4, dtype=np.uint64)
 
 
