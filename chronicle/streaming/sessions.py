@@ -51,7 +51,7 @@ def exact_episodes(events: DataFrame, gap_minutes: float = 30, late_minutes: int
         rest = [r for run in runs[len(done) :] for r in run]
         state.update((number + len(done), [(int(a), int(b), str(c)) for a, b, c in rest]))
         if rest:
-            state.setTimeoutTimestamp(max(rest[-1][0] // 1000 + int(gap.total_seconds() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(runs[len(done)][-1][0] // 1000 + int(gap.total_seconds() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         if done:
             time = lambda x: pd.Timestamp(x, unit="us", tz="UTC")
             yield pd.DataFrame(
