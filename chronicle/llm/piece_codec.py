@@ -174,7 +174,7 @@ class PieceCodec:
         """The parts of a text, each without its leading space mark."""
         if not text:
             return []
-        if self.plain and "  " not in text and SPACE not in text and text[-1] != " ":
+        if self.plain and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")
         return [p[1:] for p in self.parts(text)]
 
