@@ -152,6 +152,8 @@ class Benchmark:
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    if not len(x):
+        return []
     cut = np.flatnonzero(np.diff(x)) + 1
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True))
 
