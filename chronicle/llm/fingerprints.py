@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from chronicle.llm.shared import documents, sha256_hex
 
-#: Samples of a fingerprint, and how many are drawn in one pass over a word.
-SAMPLES, PASS = 32, 8
+#: Samples of a fingerprint.
+SAMPLES = 32
 #: Documents in a bucket; buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 1500, 20_000
 _FIRST = -(1 << 63)
@@ -92,24 +92,21 @@ def bags(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def signatures(counted: DataFrame, keys: list[str], sides: int) -> DataFrame:
-    """(keys, sig0, sig1 ...): the least a of each sample, for each count column."""
+    """(keys, sig0, sig1 ...): the least a of each sample, for each count column.
+
+    A row for each word and sample, so that the compiled loop stays small.
+    """
     part = lambda x, k: (F.shiftrightunsigned(x, 21 * k).bitwiseAND(F.lit(_PART)) + 0.5) / float(_PART + 1)
     wide = counted.withColumns({f"ln{i}": F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))) for i in range(sides)})
-    wide = wide.select(*keys, "word", *[f"ln{i}" for i in range(sides)], F.explode(F.array(*map(F.lit, range(SAMPLES // PASS)))).alias("g"))
-    wide = wide.withColumns({f"x{j}": F.xxhash64("word", F.col("g") * PASS + j) for j in range(PASS)} | {f"y{j}": F.xxhash64(F.col("g") * PASS + j, "word") for j in range(PASS)})
-    x, y = lambda j: F.col(f"x{j}"), lambda j: F.col(f"y{j}")
-    wide = wide.withColumns(
-        {f"r{j}": -F.log(part(x(j), 0) * part(x(j), 1)) for j in range(PASS)}
-        | {f"c{j}": F.log(-F.log(part(x(j), 2) * part(y(j), 0))) for j in range(PASS)}
-        | {f"b{j}": part(y(j), 1) for j in range(PASS)}
-    )
-    least = [
-        F.min(F.col(f"c{j}") - F.col(f"r{j}") * (F.floor(F.col(f"ln{i}") / F.col(f"r{j}") + F.col(f"b{j}")) - F.col(f"b{j}") + 1)).alias(f"a{i}_{j}") for i in range(sides) for j in range(PASS)
-    ]
-    passes = wide.groupBy(*keys, "g").agg(*least)
-    one = lambda i: F.array(*[F.col(f"a{i}_{j}") for j in range(PASS)]).alias(f"a{i}")
-    whole = passes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("g", *[one(i) for i in range(sides)]))).alias("p"))
-    return whole.select(*keys, *[F.flatten(F.col("p").getField(f"a{i}")).alias(f"sig{i}") for i in range(sides)])
+    wide = wide.select(*keys, "word", *[f"ln{i}" for i in range(sides)], F.explode(F.array(*map(F.lit, range(SAMPLES)))).alias("_k"))
+    wide = wide.withColumns({"x": F.xxhash64("word", "_k"), "y": F.xxhash64("_k", "word")})
+    x, y = F.col("x"), F.col("y")
+    wide = wide.withColumns({"r": -F.log(part(x, 0) * part(x, 1)), "lnc": F.log(-F.log(part(x, 2) * part(y, 0))), "b": part(y, 1)})
+    r, lnc, b = F.col("r"), F.col("lnc"), F.col("b")
+    least = [F.min(lnc - r * (F.floor(F.col(f"ln{i}") / r + b) - b + 1)).alias(f"a{i}") for i in range(sides)]
+    samples = wide.groupBy(*keys, "_k").agg(*least)
+    whole = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", *[f"a{i}" for i in range(sides)]))).alias("p"))
+    return whole.select(*keys, *[F.col("p").getField(f"a{i}").alias(f"sig{i}") for i in range(sides)])
 
 
 def likeness(a: Column, b: Column) -> Column:
