@@ -189,3 +189,21 @@ def test_retrieval(spark):
     assert [r.id for r in found] == [1, 2, 3] and found[2].score == 0.0
     n = retrieval.networks("b", m, m.limit(0), m.select("text"), m.select("text"), "none").first()
     assert len(n.episodic) == 3 and n.semantic == []
+
+
+def test_engine(spark, tmp_path):
+    from chronicle.plans.engine import Engine
+
+    engine = Engine(spark, str(tmp_path / "user"))
+    (tmp_path / "Streaming_History_0.json").write_text(json.dumps([{"ts": f"2024-01-01T0{h}:00:00Z", "ms_played": 40000, "master_metadata_track_name": f"Song {h}", "spotify_track_uri": f"u:{h}"} for h in range(3)]))
+    assert engine.ingest_plays(str(tmp_path)) == 3 and engine.ingest_plays(str(tmp_path)) == 3
+    assert engine.events.read().count() == 3 and engine.episodes().count() == 3 and engine.episodes(90, "spotify").count() == 1
+    assert engine.load("me") == 3
+    assert engine.show("me", "song 1")[1] == "- me: Listened to 'Song 1' by unknown artist"
+    c = spark.createDataFrame([("a", T0, "Here", 1.0, 2.0), ("b", T0 + datetime.timedelta(days=1), "There", None, None), ("c", T0, "", None, None)], "id string, created_at timestamp, place_name string, lat double, lng double")
+    m = spark.createDataFrame([("1", "a", "photo", "p", "image/x", 1, None, None, None)], "id string, capsule_id string, kind string, file_path string, mime string, byte_size bigint, exif_t timestamp, exif_lat double, exif_lng double")
+    stored, bad = engine.add_capsules(c, m)
+    assert stored == 2 and bad.count() == 1 and [r.id for r in engine.capsules().collect()] == ["b", "a"] and len(engine.capsules("a").first().media) == 1
+    with pytest.raises(ValueError):
+        engine.add_capsules(c, m)
+    assert engine.events.read().where("source = 'capsule'").count() == 2
