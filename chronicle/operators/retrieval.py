@@ -13,7 +13,7 @@ PEOPLE, FACT_TOKENS = 25, 3000
 
 
 def words(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}']+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:'\p{L}+)*)"), F.lit(1))
 
 
 def ranked(scored: DataFrame, k: int, key: str = "id") -> DataFrame:

@@ -10,8 +10,8 @@ from chronicle.plans import views
 from chronicle.plans.catalogue import query
 
 _BM25 = r"""
-r AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}'']+') AS w FROM documents), r2 AS (SELECT doc_id, w, len(w) AS n FROM r),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}'']+')) AS term FROM benchmark),
+r AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:''\p{L}+)*') AS w FROM documents), r2 AS (SELECT doc_id, w, len(w) AS n FROM r),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:''\p{L}+)*')) AS term FROM benchmark),
 u AS (SELECT doc_id, n, unnest(w) AS term FROM r2), tf AS (SELECT term, doc_id, n, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT count(*) AS n, avg(n) AS mean FROM r2),
 b AS (SELECT query_id, doc_id, sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / mean))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY query_id, doc_id),
