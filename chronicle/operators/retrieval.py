@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronicle.functions.text import first_filled
 
 #: Fixed constants of the ranking formulas, from their public descriptions.
 BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
-PEOPLE, FACT_TOKENS = 25, 3000
+PEOPLE, FACT_TOKENS, QUERY_BLOCK = 25, 3000, 512
 
 
 def words(text):
@@ -29,13 +34,13 @@ def of_types(memories: DataFrame, types: list[str] | None) -> DataFrame:
 def lexical(memories: DataFrame, queries: DataFrame, k: int, types: list[str] | None = None, key: str = "id") -> DataFrame:
     """(query_id, key, score, rank) by BM25 over the memories (key, text).
 
-    Only postings of the queries' terms are scored: the queries' terms, a user's input,
-    are sent to the scan, and each memory is reduced to them before anything moves.
+    Only postings of the queries' terms are scored; where Spark finds the terms few, it
+    sends them to the scan, and each memory is reduced to them before anything moves.
     """
     rows = of_types(memories, types).select(key, words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    posting = rows.select(key, "len", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    posting = rows.select(key, "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = posting.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -44,17 +49,46 @@ def lexical(memories: DataFrame, queries: DataFrame, k: int, types: list[str] |
     return ranked(scored, k, key)
 
 
-def vector(items: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """(query_id, key, score, rank) by cosine of ``embedding``; the queries, a stated set, meet every item where it lies."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
-    i = items.select(key, F.col("embedding").alias("e"), norm(F.col("embedding")).alias("ne"))
-    block = q.agg(F.collect_list(F.struct("query_id", "q", "nq")).alias("qs"))
-    pairs = i.join(F.broadcast(block)).select(key, "e", "ne", F.explode("qs").alias("x"))  # one row: the block of queries
-    dot = F.aggregate(F.zip_with("e", "x.q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    long_ = F.col("ne") * F.col("x.nq")
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), key, F.when(long_ > 0, dot / long_).otherwise(0.0).alias("score"))
-    return ranked(scored, k, key)
+def vector(items: DataFrame, queries: DataFrame, k: int, key: str = "id", digits: int = 6) -> DataFrame:
+    """(query_id, key, score, rank) by cosine of ``embedding``, rounded to ``digits``; equal scores by key.
+
+    The queries, a stated set, go to the executors in blocks of QUERY_BLOCK at most.  Each
+    batch of items is multiplied with a block and gives only its own best ``k`` of each
+    query, so few rows move.  A null embedding is no item and no query; a zero one has
+    similarity 0 to all.
+    """
+    asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kinds = T.StructType([asked.schema["query_id"], items.schema[key]]).add("score", "double")
+    rows = items.where("embedding IS NOT NULL").select(key, "embedding")
+    out = None
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()  # one block
+        sent = items.sparkSession.sparkContext.broadcast((block.column("query_id").to_pylist(), _unit(block.column("embedding").combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, asked_for = sent.value
+            for batch in batches:
+                if not ids or not batch.num_rows:
+                    continue
+                keys = batch.column(key).to_numpy(zero_copy_only=False)
+                scores = np.round(_unit(batch.column("embedding")) @ asked_for.T, digits)
+                best = np.concatenate([np.lexsort((keys, -scores[:, j]))[:k] for j in range(len(ids))])
+                j = np.repeat(np.arange(len(ids)), min(k, batch.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in j]), batch.column(key).take(pa.array(best)), pa.array(scores[best, j])], names=["query_id", key, "score"])
+
+        part = rows.mapInArrow(run, kinds)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, k, key)
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of length 1, or 0 for zero vectors."""
+    if not len(vectors):
+        return np.zeros((0, 1))
+    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(vectors), -1)
+    length = np.linalg.norm(flat, axis=1, keepdims=True)
+    return np.divide(flat, length, out=np.zeros_like(flat), where=length > 0)
 
 
 def fused(*rankings: DataFrame, k: int, key: str = "id", constant: int = RRF_K) -> DataFrame:

@@ -35,11 +35,11 @@ c AS (SELECT query_id, vec_id, round(CAST(list_cosine_similarity(CAST(embedding
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c)"""
 
 
-def _vector(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _vector(spark: SparkSession, sf_dir: str, k: int, turned: bool = False) -> DataFrame:
     """Queries are the vectors whose ids are divisible by 100, against all vectors."""
     e = views.table(spark, sf_dir, "embeddings")
-    wide = retrieval.vector(e.select("vec_id", "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 1 << 31, key="vec_id")
-    return retrieval.ranked(wide.withColumn("score", F.round("score", 6)).drop("rank"), k, "vec_id")
+    asked = F.reverse("embedding") if turned else F.col("embedding")
+    return retrieval.vector(e.select("vec_id", "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), asked.alias("embedding")), k, key="vec_id")
 
 
 @query("r3_vector_topk", f"WITH {_COS} SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 10")
@@ -49,16 +49,15 @@ def r3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "r8_rrf",
-    f"""WITH {_COS}, l AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM c WHERE score >= 0),
+    f"""WITH {_COS}, c2 AS (SELECT query_id, vec_id, round(CAST(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(e) AS DOUBLE[])) AS DOUBLE), 6) AS score FROM i, q),
+l AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c2),
 a AS (SELECT query_id, vec_id, rank FROM k WHERE rank <= 50 UNION ALL SELECT * FROM l WHERE rank <= 50),
 f AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM a GROUP BY query_id, vec_id)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f QUALIFY rank <= 10""",
 )
 def r8_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector ranking with a ranking by id of the items that are not opposed."""
-    near = _vector(spark, sf_dir, 1 << 31)
-    by_id = retrieval.ranked(near.where("score >= 0").withColumn("score", -F.col("vec_id")).drop("rank"), 50, "vec_id")
-    wide = retrieval.fused(near.where("rank <= 50"), by_id, k=1 << 31, key="vec_id")
+    """The ranking by a query's vector with that by the same vector turned round."""
+    wide = retrieval.fused(_vector(spark, sf_dir, 50), _vector(spark, sf_dir, 50, turned=True), k=100, key="vec_id")
     return retrieval.ranked(wide.withColumn("score", F.round("score", 9)).drop("rank"), 10, "vec_id")
 
 
