@@ -68,6 +68,12 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def in_filter(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set; true for every key that the table was made of."""
+    slot = _slot(keys)
+    return (filled[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
 def candidate_windows(docs: DataFrame, filled: np.ndarray, size: int, width: int) -> DataFrame:
     """(h, doc_id, pos) of every window with a shared key."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)
@@ -77,8 +83,7 @@ def candidate_windows(docs: DataFrame, filled: np.ndarray, size: int, width: int
         for part, data, bounds in slices(batches):
             words = split_words(data, bounds)
             full, keys, place = shared_windows(words, size, width)
-            slot = _slot(keys)
-            near = (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+            near = in_filter(table, keys)
             full, place = full[near], place[near]
             owner = words.text_of()[place]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]

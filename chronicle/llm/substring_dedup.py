@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.llm.repeats import by_document, repeated_windows, starts
-from chronicle.llm.shared import documents
+from chronicle.llm.repeats import by_document, in_filter, key_filter, repeated_windows, starts
+from chronicle.llm.shared import documents, materialize
 
 WINDOW, WIDTH = 13, 8
 
@@ -38,11 +40,6 @@ def factors(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, int
     return out
 
 
-def _with_factors(docs: DataFrame, window: int, width: int) -> DataFrame:
-    found = by_document(repeated_windows(docs, window, width)).withColumnRenamed("doc_id", "_doc")
-    return docs.join(found, docs["doc_id"] == found["_doc"], "left").select(docs["doc_id"], docs["text"], "found")
-
-
 def parse(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFrame:
     """(doc_id, start_word, end_word, source_doc_id): the factors of each document."""
 
@@ -58,18 +55,34 @@ def parse(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFram
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): each text without the words of its factors."""
+    """(doc_id, n_words, n_removed, kept): each text without the words of its factors.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only documents that have factors move: a table of bits of their ids, of fixed size,
+    tells the others where they lie.  An id whose bit is set by chance moves too and finds
+    no factors.
+    """
+    found = materialize(by_document(repeated_windows(docs, window, width)), "factors")
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(found.select(F.col("doc_id").cast("long").alias("key"))))
+
+    def with_factors(yes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                hit = in_filter(sent.value, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == yes))
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+            for text, own in zip(batch.column("text"), batch.column("found"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 words = raw.split()  # bytes split at [\x20\x09-\x0D]
                 total.append(len(words))
-                if found.is_valid:
+                if own.is_valid:
                     stay, end = [], 0
-                    for a, b, _ in factors(found.as_py(), window):
+                    for a, b, _ in factors(own.as_py(), window):
                         if a > end:
                             stay += words[end:a]
                         end = max(end, b)
@@ -81,7 +94,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) ->
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return _with_factors(docs, window, width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    moved = with_factors(True).join(found, "doc_id", "left")
+    rest = with_factors(False).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    return moved.unionByName(rest).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
