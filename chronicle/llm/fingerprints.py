@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from chronicle.llm.shared import documents, sha256_hex
 
-#: Samples of a fingerprint.
-SAMPLES = 32
+#: Samples of a fingerprint, and how many are drawn in one pass over a word.
+SAMPLES, PASS = 32, 4
 #: Documents in a bucket; buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 1500, 20_000
 _FIRST = -(1 << 63)
@@ -66,12 +66,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     own = F.struct(F.lit(False).alias("guest"), F.col("bucket").alias("b"))
     guest = F.struct(F.lit(True).alias("guest"), F.element_at(_literal(before, "array<int>"), F.col("bucket") + 1).alias("b"))
     leads = F.col("key") == F.element_at(_literal(first, "array<bigint>"), F.col("bucket") + 1)
-    dealt = placed.select("doc_id", "text", "key", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))).alias("p"))
+    dealt = placed.select("text", "key", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))).alias("p"))
     order = Window.partitionBy("bucket").orderBy("guest", "key", "text")
     return (
-        dealt.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "key", F.coalesce("p.b", F.lit(0)).alias("bucket"), F.coalesce("p.guest", F.lit(False)).alias("guest"))
+        dealt.select(F.coalesce("text", F.lit("")).alias("text"), "key", F.coalesce("p.b", F.lit(0)).alias("bucket"), F.coalesce("p.guest", F.lit(False)).alias("guest"))
         .withColumn("r", F.row_number().over(order))
         .withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
+        .withColumn("doc_id", F.nullif("key", F.lit(_FIRST)))
         .drop("key")
     )
 
@@ -94,19 +95,24 @@ def bags(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 def signatures(counted: DataFrame, keys: list[str], sides: int) -> DataFrame:
     """(keys, sig0, sig1 ...): the least a of each sample, for each count column.
 
-    A row for each word and sample, so that the compiled loop stays small.
+    A row for each word and few samples: with one, rows cost more than samples; with
+    many, the loop grows beyond what the JVM compiles.
     """
     part = lambda x, k: (F.shiftrightunsigned(x, 21 * k).bitwiseAND(F.lit(_PART)) + 0.5) / float(_PART + 1)
-    wide = counted.withColumns({f"ln{i}": F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))) for i in range(sides)})
-    wide = wide.select(*keys, "word", *[f"ln{i}" for i in range(sides)], F.explode(F.array(*map(F.lit, range(SAMPLES)))).alias("_k"))
-    wide = wide.withColumns({"x": F.xxhash64("word", "_k"), "y": F.xxhash64("_k", "word")})
-    x, y = F.col("x"), F.col("y")
-    wide = wide.withColumns({"r": -F.log(part(x, 0) * part(x, 1)), "lnc": F.log(-F.log(part(x, 2) * part(y, 0))), "b": part(y, 1)})
-    r, lnc, b = F.col("r"), F.col("lnc"), F.col("b")
-    least = [F.min(lnc - r * (F.floor(F.col(f"ln{i}") / r + b) - b + 1)).alias(f"a{i}") for i in range(sides)]
-    samples = wide.groupBy(*keys, "_k").agg(*least)
-    whole = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", *[f"a{i}" for i in range(sides)]))).alias("p"))
-    return whole.select(*keys, *[F.col("p").getField(f"a{i}").alias(f"sig{i}") for i in range(sides)])
+    each, pass_ = range(PASS), F.col("_pass")
+    wide = counted.withColumns({f"_ln{i}": F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))) for i in range(sides)})
+    wide = wide.select(*keys, "word", *[f"_ln{i}" for i in range(sides)], F.explode(F.array(*map(F.lit, range(0, SAMPLES, PASS)))).alias("_pass"))
+    wide = wide.withColumns({f"_x{j}": F.xxhash64("word", pass_ + j) for j in each} | {f"_y{j}": F.xxhash64(pass_ + j, "word") for j in each})
+    x, y = lambda j: F.col(f"_x{j}"), lambda j: F.col(f"_y{j}")
+    wide = wide.withColumns(
+        {f"_r{j}": -F.log(part(x(j), 0) * part(x(j), 1)) for j in each} | {f"_c{j}": F.log(-F.log(part(x(j), 2) * part(y(j), 0))) for j in each} | {f"_b{j}": part(y(j), 1) for j in each}
+    )
+    r, c, b = (lambda j, n=n: F.col(f"_{n}{j}") for n in "rcb")
+    least = [F.min(c(j) - r(j) * (F.floor(F.col(f"_ln{i}") / r(j) + b(j)) - b(j) + 1)).alias(f"_a{i}_{j}") for i in range(sides) for j in each]
+    passes = wide.groupBy(*keys, "_pass").agg(*least)
+    one = lambda i: F.array(*[F.col(f"_a{i}_{j}") for j in each]).alias(f"a{i}")
+    whole = passes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pass", *[one(i) for i in range(sides)]))).alias("_p"))
+    return whole.select(*keys, *[F.flatten(F.col("_p").getField(f"a{i}")).alias(f"sig{i}") for i in range(sides)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,9 +132,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = in_order(documents(spark, sf_dir).select("doc_id", "text"))
     texts = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     meta = texts.select("bucket", "r", "guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"))
-    # The same columns as above up to the exchange, so that Spark moves the texts once for both.
-    keys = ["bucket", "r", "guest", "doc_id"]
-    signed = signatures(bags(texts, keys, ["text", "edited"]), keys, 2).drop("guest", "doc_id")
+    # Up to the exchange both sides need the same columns, so Spark moves the texts once.
+    keys = ["bucket", "r"]
+    signed = signatures(bags(texts, keys, ["text", "edited"]), keys, 2)
     out = meta.join(signed, ["bucket", "r"], "left")
     following = F.lead("sig0").over(Window.partitionBy("bucket").orderBy("r"))
     out = out.withColumn("_next", following).where("NOT guest")
