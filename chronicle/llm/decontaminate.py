@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.llm.shared import documents
+from chronicle.llm.shared import documents, small_batches
 from chronicle.llm.words import Words, mix, slices, split_words
 
 SHINGLE, SIMILARITY, RADIUS, ITEMS = 5, 0.8, 23, 4000
@@ -183,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     names=["doc_id", "item_id", "similarity", "start_word", "end_word"],
                 )
 
-        part = docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, start_word int, end_word int")
+        part = small_batches(docs).where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, start_word int, end_word int")
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, end_word int")
@@ -201,7 +201,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[m[0] for m in sent.value.matches(split_words(data, bounds, lower=True))]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

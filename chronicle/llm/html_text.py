@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronicle.llm.shared import small_batches
+
 FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 #: Labelled blocks: place (-1 furniture, 0 unknown, 1 article), then words and link density of the
@@ -239,7 +241,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             found = [[{"text": t, "place": p, "words": w, "links": k / w} for t, p, w, k in blocks(page or "")] for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, _BLOCKS)], names=["page_id", "url", "blocks"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, blocks array<struct<text string, place int, words int, links double>>")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, blocks array<struct<text string, place int, words int, links double>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronicle.llm.shared import documents
+from chronicle.llm.shared import documents, small_batches
 from chronicle.llm.words import mix, slices
 
 UNKNOWN = "und"
@@ -134,7 +134,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = training_rows(docs, sample)
+    rows = small_batches(training_rows(docs, sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -157,7 +157,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = np.full((len(languages), BUCKETS), 0.5)
     counts[np.searchsorted(languages, table.column("lang").to_pylist()), table.column("bucket").to_numpy()] += table.column("n").to_numpy()
     share = counts / counts.sum(axis=1, keepdims=True)
-    weights = np.zeros((BUCKETS, code.shape[1]))
+    weights = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
     if len(languages) > 1:
         for bit in range(code.shape[1]):
             ones = code[:, bit] > 0
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
     schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.select(*dict.fromkeys([*keep, "text"]), lettered).mapInArrow(run, schema)
+    return small_batches(docs).select(*dict.fromkeys([*keep, "text"]), lettered).mapInArrow(run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from chronicle.llm.shared import documents
+from chronicle.llm.shared import documents, small_batches
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -366,7 +366,7 @@ def encode_digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -381,7 +381,7 @@ def encode_ids(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronicle.llm.shared import materialize
+from chronicle.llm.shared import materialize, small_batches
 from chronicle.llm.words import mix, shared_windows, slices, split_words
 
 #: Bits of the table of keys that documents share, as a power of two: 16 MB.
@@ -50,7 +50,7 @@ def shared_keys(docs: DataFrame, size: int, width: int) -> DataFrame:
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner[new]]
             yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(ids.astype(np.int64))], names=["key", "doc_id"])
 
-    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+    keyed = small_batches(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
     return keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
 
 
@@ -92,7 +92,7 @@ def candidate_windows(docs: DataFrame, filled: np.ndarray, size: int, width: int
                 [pa.array(full.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "pos"]
             )
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
+    return small_batches(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
 
 
 def repeated_windows(docs: DataFrame, size: int, width: int) -> DataFrame:

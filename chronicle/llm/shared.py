@@ -1,35 +1,29 @@
-"""Tables in the folder that every executor can reach.
+"""What the operators share: the input table, Arrow batches of bounded size, digests.
 
-Long jobs cut their lineage by writing a table to ``spark.checkpoint.dir`` and
-reading it back, so that a lost executor costs a re-read and not a re-run.
+Long jobs cut their lineage with ``materialize``: a table in ``spark.checkpoint.dir``,
+read back, so that a lost executor costs a re-read and not a re-run.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from chronicle.tables import materialize, shared_dir
 
+__all__ = ["documents", "materialize", "sha256_hex", "shared_dir", "small_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names; a new local one only if it names none."""
-    named = spark.conf.get(CHECKPOINT_DIR, None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="chronicle-")
-        spark.conf.set(CHECKPOINT_DIR, named)
-    return named.rstrip("/")
+#: Rows of an Arrow batch at most: with texts, more only cost memory on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are held to BATCH_ROWS rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

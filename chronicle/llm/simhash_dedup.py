@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.llm.shared import documents, materialize
+from chronicle.llm.shared import documents, materialize, small_batches
 from chronicle.llm.words import slices, split_words
+from chronicle.operators.graph import components
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints compared as a block; tiles that the distinct ones form at most; least size of a tile.
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             fp = simhash_texts(data, bounds, size).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _quarters(x: np.ndarray) -> np.ndarray:
@@ -163,33 +164,6 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tiled.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of the graph of ``links`` (u, v), by alternating large and small stars.
-
-    Every round is written to the shared folder, so the plan stays short.  The root
-    is the least node of its component.
-    """
-    star = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = materialize(star(links).where("u <> v").distinct(), "links")
-    told = None
-    for _ in range(max_rounds):
-        # Large star: each node's larger neighbours go to its least neighbour or itself.
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # Small star: each node and its smaller neighbours go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = materialize(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
-        # Both steps keep or lower what nodes point to, so equal counts and sums mean that nothing moved.
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == told:
-            break
-        told = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs``."""
     marked = materialize(fingerprints(docs, size), "fingerprints")
