@@ -1,0 +1,161 @@
+"""Near copies by exact likeness: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A text's shingles are the distinct runs of five words, ASCII letters in lower case, as
+64-bit hashes; a text of one to four words has one shingle, all its words.  Texts with
+the same shingles collapse first.  Candidates come from prefixes: of two sets that are
+alike at 0.8, the fifth of each with the least hashes (``n - ceil(0.8 n) + 1``) has one
+in common, so none is missed in whatever order the hashes are; shingles that a sample shows to be common
+come last in it, so that a passage in many texts makes few candidates.  Candidates are verified on their whole sets before the
+components are formed; pairs whose prefixes leave too few hashes in common are dropped first.
+
+Texts next to each other under a shared shingle are verified first.  All other pairs
+follow only across the components that those links give, so a dense group does not
+yield all its pairs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from chronicle.llm.shared import materialize, small_batches
+from chronicle.llm.words import buffers, slices, split_words
+from chronicle.operators.graph import components
+
+SHINGLE_WORDS = 5
+#: The least similarity of a link, as a fraction: exact in whole numbers.
+ALIKE, OF = 4, 5
+#: Pairs verified at once; bits of the table of wanted texts. In a corpus that fills it more texts move, results stay.
+PAIRS, SLOTS = 64, 1 << 22
+#: A shingle that so many of every SAMPLED-th documents have is common; so many common ones are known at most.
+SAMPLED, COMMON, MOST_COMMON = 16, 16, 1 << 16
+NONE = np.zeros(0, dtype=np.int64)
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, common: np.ndarray = NONE, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; those in ``common`` (sorted) get a high bit and come last."""
+    words = split_words(data, bounds, lower=True)
+    windows = {k: (words.windows(k) >> np.uint64(2)).view(np.int64) for k in range(1, size + 1)}
+    if len(common):
+        for w in windows.values():
+            w |= (common[np.minimum(np.searchsorted(common, w), len(common) - 1)] == w).astype(np.int64) << 62
+    out = []
+    for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
+        k = min(size, b - a)
+        out.append(np.unique(windows[k][a : b - k + 1]) if k else NONE)
+    return out
+
+
+def _key(hashes: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts have; they only change the order of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, bounds in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(data, bounds)))], names=["token"])
+
+    sample = small_batches(docs).where(F.pmod(F.xxhash64(F.lit("common shingles"), "doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow().column("token").to_numpy())
+
+
+def _marked(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc_id, key, n, prefix): the key of the shingle set, its size, and its least hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in slices(batches):
+            sets = shingle_sets(data, bounds, common)
+            prefix = [s[: len(s) - -(-ALIKE * len(s) // OF) + 1] for s in sets]
+            columns = [part.column("doc_id"), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "prefix"])
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, prefix array<long>")
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame, common: np.ndarray) -> DataFrame:
+    """(key, text), one row for each of the ``wanted`` keys."""
+    slot = F.pmod("key", F.lit(SLOTS)).alias("slot")
+    hit = np.zeros(SLOTS, dtype=bool)
+    hit[wanted.select(slot).distinct().toArrow().column("slot").to_numpy()] = True  # SLOTS rows at most
+    table = np.packbits(hit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in slices(batches):
+            keys = np.array([_key(s) for s in shingle_sets(data, bounds, common)], dtype=np.int64)
+            at = keys % SLOTS
+            rows = pa.RecordBatch.from_arrays([pa.array(keys), part.column("text")], names=["key", "text"])
+            yield rows.filter(pa.array((table[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return small_batches(docs).select("text").mapInArrow(run, "key long, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) without those that the hashes of their prefixes rule out.
+
+    Up to the lesser of the two last hashes both sets are known; beyond it at most the rest of the smaller one is common.
+    """
+    side = lambda key, p, n: distinct.select(F.col("key").alias(key), F.col("prefix").alias(p), F.col("n").alias(n))
+    last = F.least(F.array_max("p"), F.array_max("q"))
+    beyond = lambda p, n: F.col(n) - F.size(F.filter(p, lambda x: x <= F.col("last")))
+    most = F.size(F.array_intersect("p", "q")) + F.least(beyond("p", "m"), beyond("q", "n"))
+    both = pairs.join(side("u", "p", "m"), "u").join(side("v", "q", "n"), "v").withColumn("last", last)
+    return both.where((ALIKE + OF) * most >= ALIKE * (F.col("m") + F.col("n"))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets are alike."""
+    pairs = materialize(_possible(pairs, distinct), "near-possible")
+    bodies = materialize(_bodies(docs, pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), common), "near-bodies")
+    both = pairs.join(bodies.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(bodies.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(i, PAIRS)
+                near = []
+                for a, b in zip(shingle_sets(*buffers(part.column("a"))), shingle_sets(*buffers(part.column("b"))), strict=True):
+                    either = len(np.union1d(a, b))
+                    near.append(OF * (len(a) + len(b) - either) >= ALIKE * either)
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return small_batches(both).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _fits(m: str, n: str) -> F.Column:
+    """Sets of sizes too far apart cannot be alike."""
+    return OF * F.least(m, n) >= ALIKE * F.greatest(m, n)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of each row of ``docs``; a component's id is its smallest doc_id that is not null."""
+    common = _common(docs)
+    marked = materialize(_marked(docs, common), "near-marked")
+    distinct = materialize(marked.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "near-distinct")
+    order = Window.partitionBy("token").orderBy("n", "key")
+    spread = distinct.select("key", "n", F.explode("prefix").alias("token"))
+    spread = spread.withColumns({"u": F.lag("key").over(order), "un": F.lag("n").over(order), "_next": F.lead("key").over(order)})
+    shared = materialize(spread.where("u IS NOT NULL OR _next IS NOT NULL").drop("_next"), "near-shared")
+
+    pair = [F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")]
+    beside = materialize(shared.where(F.col("u").isNotNull() & _fits("n", "un")).select(*pair).distinct(), "near-beside")
+    first = materialize(_verified(beside, distinct, docs, common), "near-first")
+    rooted = shared.select("token", "key", "n").join(components(first).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = materialize(rooted, "near-rooted")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    open_ = materialize(rooted.join(mixed, "token", "left_semi"), "near-open")
+    left = open_.select("token", *[F.col(c).alias(f"u_{c}") for c in ("key", "n", "root")])
+    across = left.join(open_, "token").where((F.col("u_key") < F.col("key")) & (F.col("u_root") != F.col("root")) & _fits("n", "u_n"))
+    rest = materialize(across.select(F.col("u_key").alias("u"), F.col("key").alias("v")).distinct().join(beside, ["u", "v"], "left_anti"), "near-rest")
+    links = first.unionByName(_verified(rest, distinct, docs, common))
+    linked = materialize(components(links), "near-components")
+    ids = marked.select("doc_id", "key").join(linked, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    named = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(named, "root").select("doc_id", "component_id")
