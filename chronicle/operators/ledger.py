@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronicle.tables import materialize
+
 PRIORITIES = {"high": 0, "normal": 1}
 
 
@@ -54,6 +56,20 @@ def queue(items: DataFrame) -> DataFrame:
     return items.withColumn("band", band).orderBy("band", "created_at", "id")
 
 
+def places(items: DataFrame) -> DataFrame:
+    """All items of the queue with their ``place`` in it, from 1.
+
+    Rows are numbered inside ranges of the order; a row for each range carries the counts of those before.
+    """
+    order = ["band", "created_at", "id"]
+    ranged = materialize(queue(items).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "queue")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    start = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(start), "_range").withColumn("place", (F.col("_start") + F.col("_own")).cast("bigint")).drop("_range", "_own", "_start")
+
+
 def with_contradictions(capsules: DataFrame, contradictions: DataFrame) -> DataFrame:
     """Capsules with the contradiction they answer; those get high priority."""
     told = contradictions.select(F.col("id").alias("parent_contradiction"), F.col("text").alias("contradiction"))
