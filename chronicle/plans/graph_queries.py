@@ -32,6 +32,13 @@ def g2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.edge_counts(x["edges"], x["edge_links"], x["memory_events"]).select("id", "n_memories", "n_events")
 
 
+@query("g2_edges_all", f"WITH {_LADDER} SELECT id, n_memories, n_events FROM pc")
+def g2_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As g2_edges, over all orders."""
+    x = views.ladder(spark, sf_dir)
+    return provenance.edge_counts(x["edges"], x["all_edge_links"], x["memory_events"]).select("id", "n_memories", "n_events")
+
+
 @query(
     "g3_memory_top8",
     f"""WITH {_LADDER}, r AS (SELECT memory_id, event_id, t, content, row_number() OVER (PARTITION BY memory_id ORDER BY t, event_id) AS k FROM me JOIN ev ON id = event_id),
@@ -61,6 +68,14 @@ def j9_edge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("principle_id").alias("edge_id"), "memory_id", "event_id")
 
 
+@query("j9_edge_trace_all", f"WITH {_LADDER} SELECT c_custkey AS edge_id, o_orderkey AS memory_id, event_id FROM customer JOIN orders ON c_custkey = o_custkey JOIN me ON memory_id = o_orderkey JOIN ev ON ev.id = event_id")
+def j9_edge_trace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As j9_edge_trace, over all orders."""
+    x = views.ladder(spark, sf_dir)
+    out = provenance.trace(x["edges"], x["all_edge_links"].withColumnRenamed("edge_id", "principle_id"), x["memory_events"], x["events"])
+    return out.select(F.col("principle_id").alias("edge_id"), "memory_id", "event_id")
+
+
 @query("a7_depth", f"WITH {_LADDER} SELECT o_custkey AS principle_id, count(DISTINCT o_orderkey) AS memories, count(DISTINCT event_id) AS events FROM orders JOIN me ON memory_id = o_orderkey GROUP BY o_custkey")
 def a7_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = views.ladder(spark, sf_dir)
@@ -156,6 +171,19 @@ def g5_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(links.select(F.col("c_custkey").alias("u"), (F.col("o_orderkey") % 3000 + 1000000).alias("v")))
 
 
+@query("g5_components_all")
+def g5_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of all customers, orders and parts; held against union-find in the tests.
+
+    Nodes are keys times three, plus 0 for customers, 1 for orders and 2 for parts.
+    """
+    c, o, li = (views.table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    node = lambda key, kind: F.col(key).cast("bigint") * 3 + kind
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(node("c_custkey", 0).alias("u"), node("o_orderkey", 1).alias("v"))
+    held = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(node("o_orderkey", 1).alias("u"), node("l_partkey", 2).alias("v"))
+    return graph.components(placed.unionByName(held))
+
+
 @query("g5_clusters")
 def g5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Iterative; held against a brute-force version in the tests."""

@@ -150,6 +150,7 @@ def ladder(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "memories": o.select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderpriority").alias("text")),
         "links": o.select(F.col("o_custkey").alias("principle_id"), F.col("o_orderkey").alias("memory_id")),
         "edge_links": o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("edge_id"), F.col("o_orderkey").alias("memory_id")),
+        "all_edge_links": o.select(F.col("o_custkey").alias("edge_id"), F.col("o_orderkey").alias("memory_id")),
         "memory_events": li.select(F.col("l_orderkey").alias("memory_id"), event.alias("event_id")),
         "events": li.groupBy(event.alias("id")).agg(
             F.min("l_shipdate").alias("t_utc"), F.min(F.concat(F.col("l_returnflag"), F.lit(" "), F.col("l_partkey").cast("string"))).alias("content"), F.lit("app").alias("source"), F.min("l_linestatus").alias("raw_ref")
