@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronicle.functions.text import tokens
-from chronicle.tables import materialize
+from chronicle.tables import join_split, materialize
 
 NEIGHBOURS, LEAST_SIMILARITY, CLUSTERS = 3, 0.18, 5
 
@@ -43,27 +43,26 @@ def nearest_edges(pairs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return near.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.bround(F.max("similarity"), 3).alias("weight"))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of the graph of ``links`` (u, v), by alternating large and small stars.
 
-    Every round is written to the shared folder, so the plan stays short.  The root
-    is the least node of its component.
+    Rounds go on until one changes nothing; every round is written to the shared folder,
+    so the plan stays short.  The root is the least node of its component.  Links with a
+    null end are none.
     """
-    star = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = materialize(star.where("u <> v").distinct(), "links")
-    told = None
-    for _ in range(max_rounds):
+    star = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges, told = materialize(star.distinct(), "links"), None
+    while True:
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == told:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        told = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_split(both.where("v > u"), least, "u", "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = materialize(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == told:
-            break
-        told = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def grouped(nodes: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:

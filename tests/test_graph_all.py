@@ -1,5 +1,6 @@
 """Components over all rows of the tables, against union-find in Python."""
 
+from chronicle.operators import graph
 from chronicle.plans import graph_queries
 
 
@@ -27,3 +28,11 @@ def test_components_of_all_rows(spark, tmp_path):
     links = [(3 * c, 3 * k + 1) for k, c, _ in orders if c in customers] + [(3 * k + 1, 3 * p + 2) for k, p in items if k in keys]
     got = {r.node: r.root for r in graph_queries.g5_components_all(spark, str(tmp_path)).collect()}
     assert got == brute(links) and len(got) > 8
+
+
+def test_components_run_to_the_end(spark):
+    links = [(k, k + 1) for k in range(400)] + [(1000, 1000 + k) for k in range(1, 500)] + [(7, 7), (None, 3), (3, None)]
+    df = spark.createDataFrame(links, "u long, v long")
+    got = {r.node: r.root for r in graph.components(df).collect()}
+    assert got == brute([x for x in links if None not in x])
+    assert graph.components(df.limit(0)).count() == 0
