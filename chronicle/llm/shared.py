@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.tables import materialize, shared_dir
+from chronicle.tables import materialize, shared_dir, unused
 
-__all__ = ["documents", "materialize", "sha256_hex", "shared_dir", "small_batches"]
+__all__ = ["documents", "materialize", "sha256_hex", "shared_dir", "small_batches", "unused"]
 
 #: Rows of an Arrow batch at most: with texts, more only cost memory on both sides.
 BATCH_ROWS = 1000

@@ -59,7 +59,19 @@ def test_near_stage_finds_all_planted_copies(spark):
 
 
 def test_dense_group_with_a_null_id(spark):
+    """One row of a group stays, and a null doc_id only where there is no other."""
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(100)] + [(None, " ".join(base))]
     kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, SCHEMA), "").select(F.coalesce("doc_id", F.lit(-1)).alias("i")).collect()
-    assert sorted(r.i for r in kept) == [-1, 0]
+    assert sorted(r.i for r in kept) == [0]
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """A row goes for its own text, not for another row's of the same doc_id; all columns stay."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 3), (None, a, 4), (None, "only this one has these words", 5), (7, None, 6), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_key long").withColumns({"near_row": F.lit(1), "key": F.lit(2), "n": F.lit(3), "root": F.lit(4), "fp": F.lit(5), "near_f0": F.lit(6), "tile": F.lit(7)})
+    kept = corpus_pipeline.dedup_near(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, a), (5, b), (0, "only this one has these words"), (7, "")])

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronicle.llm import decontaminate, language_id, line_dedup, simhash_dedup
+from chronicle.llm import decontaminate, language_id, line_dedup
 from chronicle.llm.shared import documents
 
+from test_near_stage import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -44,8 +46,8 @@ def test_lines_stage(parts):
 
 def test_one_of_each_group_stays(parts):
     _, docs, kept = parts[2]
-    groups = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
-    assert ids(kept) == set(groups.values()) and len(ids(kept)) < docs.count()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert ids(kept) == brute(rows) and len(ids(kept)) < len(rows)
 
 
 def test_no_leak_is_left(spark, parts):
