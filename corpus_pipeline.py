@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronicle.llm.decontaminate import without_leaks
-from chronicle.llm.jaccard_dedup import near_copies
 from chronicle.llm.language_id import UNKNOWN, predict, train
 from chronicle.llm.line_dedup import with_line_dedup
 from chronicle.llm.piece_codec import encode_digests
 from chronicle.llm.shared import documents, materialize
+from chronicle.llm.simhash_dedup import one_of_near_copies
 
 #: A text whose two nearest languages are closer than this is in none of them.
 LEAST_SCORE = 0.05
@@ -35,9 +35,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are alike at 0.8 or more the document of the smallest doc_id stays."""
-    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts whose five-word shingles are alike at 0.8 or more one row stays, that of the smallest doc_id.
+
+    Candidates are pairs of near fingerprints; their whole texts decide.  Repeated rows leave one
+    of them, a null doc_id stays only where its group has no other, and null and empty texts are
+    one group.
+    """
+    return one_of_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
