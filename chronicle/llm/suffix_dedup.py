@@ -1,58 +1,227 @@
-"""Passages that documents share, by sparse suffix arrays.
-
-Of all suffixes of all documents only those that begin at a minimiser are kept:
-the place whose next ``WINDOW - WIDTH + 1`` words hash least among ``WIDTH``
-neighbours, a choice that the words alone make.  Every window of ``WINDOW`` words
-holds the whole compared beginning of one kept suffix.  Suffixes are brought into
-the order of their beginnings by the shuffle, where equal ones are neighbours;
-those whose neighbours all come from one document are dropped.  The others are
-extended to the left and right, window by window, and a window stays if a document
-with a smaller id holds the same words.  Runs of such windows are the passages.
-
-Every passage of at least ``WINDOW`` words that two documents share is found, with
-its exact ends; each document but the first that holds it gives a row.  Null or
-short texts, and rows without doc_id, give none.  Repeats inside one document, and
-repeated rows of one doc_id, do not count as shared.
+"""Passages that documents share, by a sparse suffix array that is sorted by Spark.
+
+Of all suffixes of all documents only those that begin at a minimiser are retained: of
+the ``WINDOW - GRAM + 1`` word grams of ``GRAM`` words in a window of ``WINDOW`` words
+the one of the least hash, a choice that the words alone make.  So every window holds
+the beginning of a retained suffix, and equal windows hold it at the same place.
+
+1. Suffixes whose gram only one document has are dropped: they have no neighbour.
+2. The others get their context, the ``WINDOW`` words from the anchor on and the
+   ``WINDOW - GRAM`` words before it, and are sorted by it over the whole cluster (a
+   range partitioning, so equal beginnings may fill any number of tasks).
+3. Each suffix is compared with its neighbours in that order: the nearest one before it
+   and the nearest one after it that a smaller doc_id has.  Where their words agree for
+   ``WINDOW`` words or more, to the left and to the right of the anchor, the words that
+   agree are a match.  What lies open at a partition's edge meets in one more pass.
+4. The matches of all anchors of a document are laid together, which extends them over
+   passages of any length.
+
+Words themselves are compared, so no two different passages can be taken for one.  Of
+the documents that hold a passage all but the first give a row.  A neighbour has the
+longest match to the right; a document that shares less to the right but more to the
+left with a third one can lose a few words at a passage's end by that.  Null or short
+texts, and rows without doc_id, give none.  Repeats inside one document, and repeated
+rows of one doc_id, do not count as shared.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronicle.llm.shared import documents, materialize, small_batches
+from chronicle.llm.words import Words, sliding_min, slices, split_words
+
+WINDOW, GRAM = 50, 20
+#: Bytes of sorted suffixes in a task.
+TASK_BYTES = 32 << 20
+
+_MATCH = "doc_id long, start_word int, end_word int, source_doc_id long"
+_SUFFIX = "right string, left string, doc_id long, pos int"
+
+
+def minimisers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each gram that has the least hash of a window of one text."""
+    grams, width = words.windows(gram), window - gram + 1
+    least = sliding_min(grams, width)
+    if not len(least):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    least = np.where(words.inside(window)[: len(least)], least, np.uint64(0))
+    wings = np.zeros(width - 1, dtype=np.uint64)
+    # A gram is a minimiser if the greatest of the least hashes around it is its own.
+    around = ~sliding_min(~np.concatenate([wings, least, wings]), width)
+    place = np.flatnonzero((around == grams) & (grams > 0))
+    return place, grams[place]
+
+
+def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, doc_id, row, pos) of each retained suffix; ``row`` names the row by its doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in slices(batches):
+            words = split_words(data, bounds)
+            place, key = minimisers(words, window, gram)
+            text = np.searchsorted(words.offsets, place, side="right") - 1
+            take = pa.array(text)
+            pos = pa.array((place - words.offsets[text]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(take), part.column("row").take(take), pos], names=["key", "doc_id", "row", "pos"])
+
+    return small_batches(docs).mapInArrow(run, "key long, doc_id long, row long, pos int")
+
+
+def suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(right, left, doc_id, pos) of the suffixes whose first gram at least two doc_ids have."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    found = materialize(anchors(rows, window, gram), "anchors")
+    shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    # Written out, so that a key which many documents have can be split among tasks.
+    kept = found.join(materialize(shared, "shared-keys"), "key").groupBy("row").agg(F.collect_set("pos").alias("places"))
+    reach = window - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right, left, ids, at = [], [], [], []
+            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places").to_pylist(), strict=True):
+                words = text.as_buffer().to_pybytes().split()  # bytes split at [\x20\x09-\x0D]
+                for p in places:
+                    right.append(b" ".join(words[p : p + window]))
+                    left.append(b" ".join(words[max(0, p - reach) : p][::-1]))
+                ids += [doc_id] * len(places)
+                at += places
+                if len(right) > 20_000:
+                    yield _suffixes(right, left, ids, at)
+                    right, left, ids, at = [], [], [], []
+            yield _suffixes(right, left, ids, at)
+
+    return small_batches(rows.join(kept, "row")).select("doc_id", "text", "places").mapInArrow(run, _SUFFIX)
+
+
+def _suffixes(right: list, left: list, ids: list, at: list) -> pa.RecordBatch:
+    texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (right, left)]
+    return pa.RecordBatch.from_arrays([*texts, pa.array(ids, pa.int64()), pa.array(at, pa.int32())], names=["right", "left", "doc_id", "pos"])
+
+
+def common_words(a: str, b: str) -> int:
+    """How many words two lines of words, one space between them, have in common at their beginnings."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    whole = (low == len(a) or a[low] == " ") and (low == len(b) or b[low] == " ")
+    return a.count(" ", 0, low) + (1 if whole and low else 0)
+
+
+class Neighbours:
+    """A pass over sorted suffixes that compares each with the nearest one of a smaller doc_id on both sides.
+
+    ``open_`` are the suffixes that still may find one in the order's next part; ``bare`` those of
+    the first run that had none before them.
+    """
+
+    def __init__(self, window: int, gram: int):
+        self.window, self.reach = window, window - gram
+        self.open_: list[tuple] = []  # (right, left, doc_id, pos, the nearest smaller one before it), doc_ids never falling
+        self.last: tuple | None = None
+        self.bare: list[tuple] = []
+        self.first_run = True
+        self.matches: list[tuple[int, int, int, int]] = []
+
+    def compare(self, own: tuple, other: tuple) -> None:
+        right = common_words(own[0], other[0])
+        if right + self.reach >= self.window:
+            left = common_words(own[1], other[1])
+            if left + right >= self.window:
+                self.matches.append((own[2], own[3] - left, own[3] + right, other[2]))
+
+    def add(self, right: str, left: str, doc_id: int, pos: int) -> None:
+        last, stack = self.last, self.open_
+        if last is not None and last[0] == right and last[1] == left:
+            if last[2] < doc_id:  # the same context as the first one that has it
+                self.compare((right, left, doc_id, pos), last)
+            return
+        if last is not None and common_words(last[0], right) + self.reach < self.window:
+            stack.clear()  # nothing after this place agrees far enough with anything before it
+            self.first_run = False
+        own = (right, left, doc_id, pos)
+        while stack and stack[-1][2] > doc_id:
+            self.compare(stack.pop(), own)
+        before = None
+        if stack:
+            before = stack[-1] if stack[-1][2] < doc_id else stack[-1][4]
+        if before is not None:
+            self.compare(own, before)
+        elif self.first_run:
+            self.bare.append(own)
+        stack.append((*own, before))
+        self.last = own
+
+
+def matches(sorted_: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Matches of neighbours in partitions that are ranges of the order; rows of a null ``end_word`` are suffixes open at an edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Neighbours(window, gram)
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("right", "left", "doc_id", "pos")], strict=True):
+                near.add(*row)
+            yield _found(near.matches, [])
+            near.matches.clear()
+        edge = {(x[0], x[1], x[2], x[3]) for x in [*near.bare, *near.open_]}
+        yield _found([], sorted(edge))
+
+    return small_batches(sorted_).mapInArrow(run, f"{_MATCH}, right string, left string")
 
-from chronicle.llm.repeats import by_document, repeated_windows, starts
-from chronicle.llm.shared import documents
 
-WINDOW, WIDTH = 50, 16
+def _found(found: list[tuple[int, int, int, int]], edge: list[tuple]) -> pa.RecordBatch:
+    none = [None] * len(found)
+    ids = [x[0] for x in found] + [x[2] for x in edge]
+    start = [x[1] for x in found] + [x[3] for x in edge]
+    columns = [pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array([x[2] for x in found] + [None] * len(edge), pa.int32()), pa.array([x[3] for x in found] + [None] * len(edge), pa.int64())]
+    columns += [pa.array(none + [x[k] for x in edge], pa.string()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_word", "end_word", "source_doc_id", "right", "left"])
 
 
-def passages(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, list[int]]]:
-    """(first word, end, first holders) of each maximal run of repeated windows."""
-    out: list[tuple[int, int, list[int]]] = []
-    for at, source in starts(found):
-        if out and at <= out[-1][1] - window + 1:
-            held = out[-1][2]
-            out[-1] = (out[-1][0], at + window, held if source in held else [*held, source])
+def passages(spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, int, list[int]]]:
+    """(first word, end, sources) of each maximal run of matched windows, from matches (first word, end, source)."""
+    out: list[tuple[int, int, set[int]]] = []
+    for a, b, source in sorted(spans):
+        if out and a <= out[-1][1] - window + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2] | {source})
         else:
-            out.append((at, at + window, [source]))
-    return out
+            out.append((a, b, {source}))
+    return [(a, b, sorted(s)) for a, b, s in out]
 
 
-def shared_passages(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFrame:
-    """(doc_id, start_word, end_word, source_doc_ids) of each passage that earlier documents hold."""
+def shared_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, start_word, end_word, source_doc_ids) of each passage of ``window`` words or more that earlier documents hold."""
+    held = materialize(suffixes(docs, window, gram), "suffixes")
+    size = held.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 12)).first()[0] or 0
+    order = ["right", "left", "doc_id", "pos"]
+    ranges = held.repartitionByRange(max(1, size // TASK_BYTES, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    found = materialize(matches(ranges, window, gram), "matches")
+    edge = found.where("end_word IS NULL").select("right", "left", "doc_id", F.col("start_word").alias("pos"))
+    last = matches(edge.coalesce(1).sortWithinPartitions(*order), window, gram)  # a few rows of each partition
+    spans = found.unionByName(last).where("end_word IS NOT NULL").select("doc_id", "start_word", "end_word", "source_doc_id").distinct()
+    gathered = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "source_doc_id")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, a, b, s) for i, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True) for a, b, s in passages(found, window)]
+            own = [[tuple(s.values()) for s in spans] for spans in batch.column("spans").to_pylist()]
+            rows = [(i, a, b, s) for i, spans in zip(batch.column("doc_id").to_pylist(), own, strict=True) for a, b, s in passages(spans, window)]
             i, a, b, s = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(s, pa.list_(pa.int64()))],
                 names=["doc_id", "start_word", "end_word", "source_doc_ids"],
             )
 
-    return by_document(repeated_windows(docs, window, width)).mapInArrow(run, "doc_id long, start_word int, end_word int, source_doc_ids array<long>")
+    return gathered.mapInArrow(run, "doc_id long, start_word int, end_word int, source_doc_ids array<long>")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
