@@ -6,9 +6,14 @@ in lower case.  Keys of at least ``min_length`` code points that at least
 largest doc_id that holds them.
 
 Every row counts as a document.  A null or empty text is one empty line.  Rows
-that repeat a doc_id are told apart for counting but share what is dropped; a
-null doc_id is smaller than any other.  Columns besides doc_id and text are left
-alone, whatever their names.
+that repeat a doc_id are told apart for counting, and the largest doc_id keeps the
+line in all of its rows; a null doc_id is smaller than any other.  Columns besides
+doc_id and text are left alone, whatever their names, but for those that have the
+names of the three new ones: they give way.
+
+A line that very many documents hold is no hot key: fewer than ``HOT_PART`` lines can
+have more than that part of all repeated lines, and these few meet their documents
+where the documents lie.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.llm.shared import documents, sha256_hex
+from chronicle.llm.shared import documents, materialize, sha256_hex, unused
+from chronicle.tables import HOT_PART
 
 MIN_LENGTH = 40
 MIN_DOCUMENTS = 5
@@ -38,48 +44,53 @@ def _hash(key: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """Hashes of the lines that each doc_id loses: (doc_id, dropped array)."""
+    """(doc_id, text_hash, dropped): hashes of the lines that a text of a doc_id loses."""
     keys = F.transform(_lines(F.col("text")), line_key)
     keys = F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_length))
     held = (
         docs.where(F.length("text") >= min_length)
-        .select("doc_id", F.explode(keys).alias("key"))
-        .select("doc_id", _hash(F.col("key")).alias("h"))
-        .select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(keys).alias("key"))
+        .select("doc_id", "text_hash", _hash(F.col("key")).alias("h"))
+        .select("doc_id", "text_hash", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     )
-    common = (
-        held.groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-        .where(F.col("n") >= min_documents)
-        .select("a", "b", "last")
-    )
-    return (
-        held.join(common, ["a", "b"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("last")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("dropped"))
-    )
-
-
-def with_line_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``docs`` with kept_text, n_lines and n_dropped."""
-    drops = repeated_lines(docs, min_length, min_documents).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left")
-    lines = _lines(docs["text"])
-    kept = F.filter(
+    counts = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents)
+    common = materialize(counts, "common-lines")
+    hot = F.col("n") * HOT_PART > F.lit(common.agg(F.sum("n")).first()[0] or 0)
+    few = common.where(hot).select(F.col("a").alias("hot_a"), F.col("b").alias("hot_b"), F.col("last").alias("hot_last"))
+    rest = common.where(~hot).select(F.col("a").alias("other_a"), F.col("b").alias("other_b"), F.col("last").alias("other_last"))
+    marked = held.join(F.broadcast(few), (F.col("a") == F.col("hot_a")) & (F.col("b") == F.col("hot_b")), "left")  # fewer than HOT_PART rows
+    # A hot line has its answer; it goes on under its document's hash and meets no other line.
+    known = F.col("hot_a").isNotNull()
+    marked = marked.select("doc_id", "text_hash", "a", "b", "hot_last", F.when(known, F.xxhash64("doc_id", "text_hash")).otherwise(F.col("a")).alias("by"), known.alias("known"))
+    told = marked.join(rest, (F.col("by") == F.col("other_a")) & (F.col("b") == F.col("other_b")) & ~F.col("known"), "left")
+    last = F.coalesce("hot_last", "other_last")
+    lost = told.where(last.isNotNull() & ~F.col("doc_id").eqNullSafe(last))
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("dropped"))
+
+
+def with_line_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with three columns of the given names: the text that stays, its lines before, and how many of them went."""
+    kept_name, total_name, gone_name = names
+    doc, text_hash, dropped, kept = (unused(docs, c) for c in ("line_doc", "line_text", "line_dropped", "line_kept"))
+    drops = repeated_lines(docs, min_length, min_documents).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("dropped").alias(dropped))
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    lines = _lines(F.col("text"))
+    stay = F.filter(
         lines,
         lambda x: (F.char_length(x) < min_length)
         | (F.char_length(line_key(x)) < min_length)
-        | ~F.array_contains(F.col("dropped"), _hash(line_key(x))),
-    )
-    touched = F.col("dropped").isNotNull()
-    return (
-        joined.withColumn("_kept", F.when(touched, kept))
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.when(touched, F.col("n_lines") - F.size("_kept")).otherwise(0).cast("long"))
-        .withColumn("kept_text", F.when(touched, F.array_join("_kept", "\n")).otherwise(F.coalesce(docs["text"], F.lit(""))))
-        .drop("_doc", "dropped", "_kept")
+        | ~F.array_contains(F.col(dropped), _hash(line_key(x))),
     )
+    touched = F.col(dropped).isNotNull()
+    total = F.size(lines).cast("long")
+    out = joined.withColumn(kept, F.when(touched, stay))
+    made = {
+        kept_name: F.when(touched, F.array_join(kept, "\n")).otherwise(F.coalesce("text", F.lit(""))),
+        total_name: total,
+        gone_name: F.when(touched, total - F.size(kept)).otherwise(0).cast("long"),
+    }
+    old = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    return out.select(*old, *[c.alias(name) for name, c in made.items()])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
