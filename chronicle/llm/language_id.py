@@ -8,13 +8,15 @@ for a language as much as its classifier was right about that language's trainin
 texts.  A text whose two nearest codewords are about as near is flagged ambiguous.
 
 The classifiers are counts of n-grams by language, gathered by Spark from at most
-``SAMPLE`` training rows a language, chosen by a hash of doc_id; prediction reads
-whole texts of all rows.
+``SAMPLE`` training rows a language, chosen by a hash of doc_id; one in ``HELD`` of them
+teaches nothing and judges the bits.  Prediction reads whole texts of all rows, and
+every label is learned, however rare.
 
 Rows without doc_id, text or language teach nothing.  A text that is null or has
 no letter is ``und`` with score 0, and so is every text if nothing was learned.
 With one learned language every text with a letter is in it.  Repeated rows are
-predicted alike; columns other than doc_id and text play no part in a prediction.
+predicted alike; columns other than text play no part in a prediction.  Very long
+texts cost memory of some times their own size in one task, as they are one row.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronicle.llm.shared import documents, small_batches
+from chronicle.llm.shared import documents, small_batches, unused
 from chronicle.llm.words import mix, slices
 
 UNKNOWN = "und"
-#: Training rows for each language at most; languages at most.
-SAMPLE, MOST_LANGUAGES = 2000, 200
+#: Training rows for each language at most; where a language has so many, one in HELD of them is kept to judge the bits.
+SAMPLE, JUDGED, HELD = 2000, 20, 5
 #: Character n-grams and the table they are hashed into.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Scores below this, of 0 to 1, are ambiguous.
@@ -123,14 +125,15 @@ class Model:
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, text) of at most about ``sample`` rows a language that are not held out."""
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()  # a row for each language
-    place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < int((1 << 30) * min(1.0, sample / r["count"]))))
-    return usable.where(chosen & F.col("text").isNotNull()).select("lang", "text")
+    """(lang, text, judge) of at most about ``sample`` rows a language that are not held out."""
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").count().collect()  # a row for each language, which the model has too
+    rates = [(r["lang"], min(1.0, sample / r["count"]), r["count"] >= JUDGED) for r in counts]
+    table = docs.sparkSession.createDataFrame(rates, "lang string, rate double, many boolean")
+    place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    judge = F.col("many") & (F.pmod(F.xxhash64(F.lit("judged"), "doc_id"), F.lit(HELD)) == 0)
+    chosen = usable.where(F.col("text").isNotNull()).join(F.broadcast(table), "lang")  # a row for each language
+    return chosen.where(place < F.col("rate")).select("lang", "text", judge.alias("judge"))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -148,7 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
 
-    grams = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    grams = rows.where("NOT judge").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = grams.toArrow()  # at most BUCKETS rows for each language
     languages = sorted(set(table.column("lang").to_pylist()))
     code = codewords(len(languages))
@@ -170,37 +173,37 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             good = (np.sign(model.margins(data, bounds)) == code[at]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(good.tolist(), pa.list_(pa.int64()))], names=["lang", "good"])
 
-    judged = rows.mapInArrow(right, "lang string, good array<long>").select("lang", F.posexplode("good").alias("bit", "ok")).groupBy("lang", "bit").agg(F.avg("ok").alias("ok"))
+    judged = rows.where("judge").where(F.col("lang").isin(*languages)).mapInArrow(right, "lang string, good array<long>").select("lang", F.posexplode("good").alias("bit", "ok")).groupBy("lang", "bit").agg(F.avg("ok").alias("ok"))
     for r in judged.collect():  # a row for each language and bit
         model.trust[languages.index(r.lang), r.bit] = max(r.ok, 1e-3)
     model.trust /= model.trust.sum(axis=1, keepdims=True)
     return model
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and ambiguous of each row of ``docs``, after the columns ``keep`` (doc_id).
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """The language, its score and whether it is ambiguous for each row of ``docs``, as columns ``names`` after the columns ``keep`` (doc_id).
 
     A column of ``keep`` with one of these names gives way to the prediction.
     """
-    own = ["lang_pred", "score", "ambiguous"]
+    own = list(names)
     keep = [c for c in keep or ["doc_id"] if c not in own]
+    lettered, text = unused(docs, "lettered"), unused(docs, "text_to_tell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
-        for part, data, bounds in slices(batches):
+        for part, data, bounds in slices(batches, text):
             if len(names):
                 best, score = model.decode(model.margins(data, bounds))
-                known = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
+                known = part.column(lettered).to_numpy(zero_copy_only=False).astype(bool)
                 lang, score = np.where(known, names[best], UNKNOWN), np.where(known, np.clip(score, 0, 1), 0.0)
             else:
                 lang, score = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c) for c in keep], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=keep + own
-            )
+            columns = part.columns[: len(keep)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], names=keep + own)
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return small_batches(docs).select(*dict.fromkeys([*keep, "text"]), lettered).mapInArrow(run, schema)
+    some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(lettered)
+    schema = T.StructType([docs.schema[c] for c in keep]).add(own[0], "string").add(own[1], "double").add(own[2], "boolean")
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text), some).mapInArrow(run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
