@@ -179,14 +179,16 @@ class PieceCodec:
         return [p[1:] for p in self.parts(text)]
 
     def _coded(self, keys: list[list[str]]) -> dict[str, tuple[str, int, bytes]]:
-        """What the memo holds, after the parts that it lacks are encoded together."""
+        """All parts of some texts with their codes: short ones stay in the memo, long ones only as long as these texts."""
         if len(self.memo) >= MEMO_PARTS:
             self.memo.clear()
-        memo = self.memo
-        new = [k for k in set().union(*keys) if k not in memo]
+        memo, coded = self.memo, {}
+        parts = set().union(*keys)
+        new = [k for k in parts if k not in memo]
         for k, ids in zip(new, self.many.encode([SPACE + k for k in new]), strict=True):
-            memo[k] = self._record(ids)
-        return memo
+            (memo if len(k) <= MEMO_LENGTH else coded)[k] = self._record(ids)
+        coded.update((k, memo[k]) for k in parts if k not in coded)
+        return coded
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids, and the SHA-256 of the ids and of the decoded text."""
@@ -194,9 +196,9 @@ class PieceCodec:
         end = self.digits[self.eos]
         for first in range(0, len(texts), DIGEST_TEXTS):
             keys = [self._keys(t) for t in texts[first : first + DIGEST_TEXTS]]
-            memo = self._coded(keys)
+            known = self._coded(keys)
             for own in keys:
-                coded = [memo[k] for k in own]
+                coded = [known[k] for k in own]
                 ids = " ".join([*[c[0] for c in coded], end])
                 back = self._decoded(b"".join([c[2] for c in coded]))
                 yield ids.count(" ") + 1, sha(ids.encode()), sha(back.encode())
