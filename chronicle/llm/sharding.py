@@ -1,20 +1,27 @@
-"""Sharding by histogram sort: shards of near equal bytes, found by counting.
+"""Sharding by histogram sort: shards of near equal bytes that keep equal texts together.
 
-Documents are ordered by (hash of the text, doc_id), so equal texts stand
-together and a group too large for a shard continues in the next one.  Rounds of
-one aggregation each count exact rows and bytes between candidate boundaries
-(probes).  A cell between two probes is refined while it holds too many rows, or
-holds a shard's ideal end and more bytes than the tolerance.  Then each document
-moves once, to its cell; its slot is the rows before the cell in its shard, which
-the counts give, plus its place in the cell.
+Documents are ordered by (hash of the text, doc_id), so equal texts, a group, stand
+together.  Rounds of one aggregation each count exact rows and bytes between candidate
+boundaries (probes).  A cell between two probes is refined while it holds several groups
+and more bytes than a small part of a shard, or a shard's end and more bytes than the
+tolerance; a group is refined by doc_id only while it has very many rows.  Then each
+document moves once, to its cell; its slot is the rows before the cell in its shard,
+which the counts give, plus its place in the cell.
+
+A group of more bytes than a small part of a shard is a cell, or several, of its own.
+Such groups are placed first, the largest first, each in the emptiest shard; the other
+cells then fill the shards in their order up to what is left of each.  So a group is
+never cut, unless it has more bytes than a shard: then its cells are dealt like others.
 
 Null texts have size 8 and the checksum of no bytes.  Null doc_ids come first
 among equal texts.  Rows equal in text and doc_id cannot be parted by any probe
-and follow each other in any order.  No rows give no rows.
+and follow each other in any order.  No rows give no rows.  Other columns than doc_id
+and text are not looked at.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +34,13 @@ from chronicle.llm.shared import documents, materialize
 SHARDS = 24
 #: Bytes by which a boundary may miss its ideal place, as a part of a shard.
 TOLERANCE = 0.002
+#: Bytes of a cell as a part of a shard: beyond it a cell of several groups is refined, and a group is placed by itself.
+CELL = 1 / 64
 #: A cell may hold this part of the rows, where distinct keys allow it; beyond
 #: CELL_ROWS rows the parts get smaller, down to 1 / MOST_CELLS.
 LEAST_CELLS, MOST_CELLS, CELL_ROWS = 512, 20_000, 100_000
-#: Probes put into a cell that is refined; cells to start with; rounds at most.
-FANOUT, FIRST_CELLS, MAX_ROUNDS = 16, 384, 64
+#: Probes put into a cell that is refined; cells to start with; rounds at most, more than 128 bits of keys can need.
+FANOUT, FIRST_CELLS, MAX_ROUNDS = 16, 2048, 64
 _MIN = -(1 << 63)
 
 
@@ -72,36 +81,73 @@ def _cells(keyed: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int
     return out
 
 
+def _placed(cells: dict[int, tuple[int, int, int, int]], shards: int) -> tuple[dict[int, int], set[int]]:
+    """The shard of each cell, and the cells that hold a shard's end."""
+    total = sum(c[1] for c in cells.values())
+    target = total / shards
+    groups: dict[int, list[int]] = {}
+    for k, (_, size, low, high) in cells.items():
+        if low >> 64 == high >> 64:
+            groups.setdefault(low >> 64, []).append(k)
+    bytes_of = {g: sum(cells[k][1] for k in own) for g, own in groups.items()}
+    load, shard = [0] * shards, {}
+    alone = [g for g, own in groups.items() if bytes_of[g] <= target and (bytes_of[g] > target * CELL or len(own) > 1)]
+    for g in sorted(alone, key=lambda g: (-bytes_of[g], g)):
+        where = min(range(shards), key=lambda s: (load[s], s))
+        load[where] += bytes_of[g]
+        shard.update(dict.fromkeys(groups[g], where))
+    room = [max(0.0, target - x) for x in load]
+    scale = (total - sum(load)) / max(sum(room), 1)
+    ends, reached = [], 0.0
+    for r in room:
+        reached += r * scale
+        ends.append(reached)
+    cut, at, before = set(), 0, 0
+    for k in sorted(k for k in cells if k not in shard):
+        size = cells[k][1]
+        # A cell goes where its middle byte belongs; shards never go back.
+        while at < shards - 1 and before + size / 2 >= ends[at]:
+            at += 1
+        shard[k] = at
+        if any(before < e < before + size for e in ends[:-1]):
+            cut.add(k)
+        before += size
+    return shard, cut
+
+
 def split_points(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[int], list[int], list[int]]:
     """Probes, and for each cell its shard and the rows before it in the shard."""
-    probes = [(1 << 128) * k // FIRST_CELLS for k in range(1, FIRST_CELLS)]
+    probes = [((1 << 64) * k // FIRST_CELLS) << 64 for k in range(1, FIRST_CELLS)]
     for _ in range(MAX_ROUNDS):
         cells = _cells(keyed, probes)
-        total = sum(c[1] for c in cells.values())
-        slack = tolerance * total / shards
+        shard, cut = _placed(cells, shards)
+        target = sum(c[1] for c in cells.values()) / shards
         rows = sum(c[0] for c in cells.values())
         most = max(64, rows // max(LEAST_CELLS, min(MOST_CELLS, rows // CELL_ROWS)))
-        more, before = set(), 0
-        for k in sorted(cells):
-            n, size, low, high = cells[k]
-            ends = int(before * shards // max(total, 1)) != int((before + size) * shards // max(total, 1)) and before + size < total
-            if low < high and (n > most or (ends and size > slack)):
-                more.update(low + (high - low) * i // FANOUT + (i == FANOUT) for i in range(FANOUT + 1))
-            before += size
-        new = sorted(set(probes) | more)
+        more: set[int] = set()
+        group_bytes = Counter()
+        for _, size, low, high in cells.values():
+            if low >> 64 == high >> 64:
+                group_bytes[low >> 64] += size
+        for k, (n, size, low, high) in cells.items():
+            if low >> 64 < high >> 64:  # several groups: probes only between groups
+                if n > most or size > target * CELL or (k in cut and size > tolerance * target):
+                    a, b = low >> 64, high >> 64
+                    more.update((a + (b - a) * i // FANOUT + (i == FANOUT)) << 64 for i in range(1, FANOUT + 1))
+                    more.add(b << 64)
+            elif low < high and (n > most or (k in cut and size > tolerance * target and group_bytes[low >> 64] > target)):
+                more.update(low + (high - low) * i // FANOUT for i in range(1, FANOUT + 1))
+        new = sorted(p for p in {*probes, *more} if p < 1 << 128)
         if len(new) == len(probes):
             break
         probes = new
-    shard, first, before, rows_in = [0] * (len(probes) + 1), [0] * (len(probes) + 1), 0, {}
-    last = 0
-    for k in range(len(probes) + 1):
-        n, size, *_ = cells.get(k, (0, 0))
-        # A cell goes where its middle byte belongs; shards never go back.
-        last = max(last, min(shards - 1, int((2 * before + size) * shards // max(2 * total, 1))))
-        shard[k], first[k] = last, rows_in.get(last, 0)
-        rows_in[last] = rows_in.get(last, 0) + n
-        before += size
-    return probes, shard, first
+    else:
+        raise RuntimeError(f"shard boundaries were not found in {MAX_ROUNDS} rounds")
+    of, first, rows_in = [0] * (len(probes) + 1), [0] * (len(probes) + 1), [0] * shards
+    for k in sorted(cells):
+        of[k], first[k] = shard[k], rows_in[shard[k]]
+        rows_in[shard[k]] += cells[k][0]
+    return probes, of, first
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -111,7 +157,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
         docs.select(
             "doc_id",
             F.xxhash64(text).alias("h"),
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(_MIN)).alias("d"),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(_MIN) + F.monotonically_increasing_id()).alias("d"),  # many null doc_ids are parted too
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
         ),
