@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from chronicle.llm.shared import documents, sha256_hex
 
 #: Samples of a fingerprint, and how many are drawn in one pass over a word.
-SAMPLES, PASS = 32, 4
-#: Documents in a bucket; buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 1500, 20_000
+SAMPLES, PASS = 64, 4
+#: Documents in a bucket, and buckets at most: beyond their product, 300 million documents, buckets get larger and are sorted on disk.
+BUCKET_ROWS, MOST_BUCKETS = 1500, 200_000
 _FIRST = -(1 << 63)
 _PART = (1 << 21) - 1
 
