@@ -10,7 +10,7 @@ from chronicle.llm.line_dedup import OP6_SQL, op6_line_dedup
 from chronicle.llm.piece_codec import op3_sentencepiece
 from chronicle.llm.sharding import op7_sharding
 from chronicle.llm.simhash_dedup import op8_simhash
-from chronicle.llm.substring_dedup import op9_substring_dedup
+from chronicle.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from chronicle.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op6_line_dedup": OP6_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}

@@ -1,16 +1,21 @@
 """Substring dedup by relative Lempel-Ziv factors.
 
 The reference of a document is the text of all documents with smaller ids.  It is
-indexed by its windows of ``WINDOW`` words, spread over the cluster by hash; every
-block of that index is asked for every document.  A document is then parsed
-greedily from its beginning: where a window occurs in the reference, a factor goes
-on as long as the following windows occur in the same reference document; at a
-factor's end the next window is looked up again, also if it overlaps the factor, so
-no window that crosses two factors is missed.  Words that no factor covers stay as
-literals.
+indexed by its windows of ``WINDOW`` words; the index is cut into blocks by hash, one to
+a task, and each document asks every block that one of its windows lies in.  A document
+is then parsed greedily from its beginning: where a window occurs in the reference, a
+factor begins at the reference document that has it first, and goes on as long as the
+next windows have that document for their first too; at a factor's end the next window
+is looked up again, also if it overlaps the factor, so no window that crosses two
+factors is missed.  Words that no factor covers stay as literals.
+
+So a factor is the longest run in the first holder of its windows, not in any document:
+a passage may be several factors where the first holders change in it, and together they
+cover what longer ones would.  Asking each whole block for each whole document would
+make the work grow with the square of the corpus.
 
 A null or empty text has no words.  Rows without doc_id keep their text.  Repeated
-rows of one doc_id are no reference for each other.
+rows of one doc_id are no reference for each other.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -102,3 +107,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) ->
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i FROM k JOIN f USING (win) WHERE first < doc_id), range(0, 13) AS r(j)),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d WHERE len(w) > 0),
+y AS (SELECT x.doc_id, count(*) AS n, count(c.i) AS gone, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL) AS kept
+      FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)
+"""

@@ -14,9 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are handled in slices of about so many bytes; one longer text is a slice.
 SLICE_BYTES = 1 << 19
+#: Longer words get XXH64, as there are pairs of long words that polynomials modulo 2**64 cannot tell apart.
+LONG_WORD = 256
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,6 +105,9 @@ def split_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Wo
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _powers(BASES[0], n), out=sums[1:])
     raw = (sums[ends] - sums[starts]) * _powers(_inverse(BASES[0]), n)[starts]
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        raw[k] = xxhash.xxh64_intdigest(word.lower() if lower else word, 7)
     return Words(data, starts, ends, mix(raw), np.searchsorted(starts, bounds))
 
 
