@@ -14,7 +14,7 @@ from chronicle.llm.decontaminate import without_leaks
 from chronicle.llm.language_id import UNKNOWN, predict, train
 from chronicle.llm.line_dedup import with_line_dedup
 from chronicle.llm.piece_codec import encode_digests
-from chronicle.llm.shared import documents, materialize
+from chronicle.llm.shared import documents, materialize, unused
 from chronicle.llm.simhash_dedup import one_of_near_copies
 
 #: A text whose two nearest languages are closer than this is in none of them.
@@ -22,14 +22,24 @@ LEAST_SCORE = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text has no letter or speaks for no language more than for another."""
-    return predict(docs, train(docs), keep=docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents go whose text has no letter or speaks for no language more than for another.
+
+    Null and empty texts have no letter.  Repeated rows share their fate.
+    """
+    names = tuple(unused(docs, c) for c in ("language", "language_score", "language_ambiguous"))
+    told = predict(docs, train(docs), keep=docs.columns, names=names)
+    return told.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents share stay in one of them; n_chars follows the text, and no document goes."""
-    out = with_line_dedup(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    """Lines that five documents share stay in the largest doc_id; n_chars follows the text, and no document goes.
+
+    A null text stays null.  Repeated rows are documents of their own; those of the largest
+    doc_id keep the line in each row, and a null doc_id keeps it only among null ones.
+    """
+    names = tuple(unused(docs, c) for c in ("line_kept_text", "line_total", "line_gone"))
+    out = with_line_dedup(docs, names=names)
+    text = F.when(F.col("text").isNotNull(), F.col(names[0]))
     changed = {"text": text} | ({"n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(*docs.columns)
 
@@ -45,12 +55,12 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.  Null and empty texts hold none; repeated rows share their fate."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of ids and the digests of each document left."""
+    """The number of ids and the digests of each document left; a null text is coded as an empty one."""
     return encode_digests(docs)
 
 
