@@ -3,16 +3,22 @@
 Words are compared with A-Z in lower case.  A text is a bag of shingles of
 ``SHINGLE`` words (a shorter text: its whole sequence).  A window of a document, as
 many words long as an item, matches it if the weighted Jaccard similarity of their
-bags is at least ``SIMILARITY``.  A window without any shingle of an item has
-similarity 0, so windows are looked at only where a shingle occurs that some item
-has.  Each gets a SimHash fingerprint; multi-index tables of 8 blocks of 8 bits give
-every item within ``RADIUS`` = 23 bits, as of 24 differing bits at most at least one
-block differs in 2 or fewer; the exact similarity decides.  Windows at 0.8 differ in
-10 bits on average, so the radius leaves them 4 standard deviations of room.
-
-Benchmark items come in blocks of ``ITEMS`` at most, chosen by hash, so what is sent
-to the executors is bounded however large the benchmark is.  Items without words and
-null texts match nothing.  Repeated rows are judged alike, each by itself.
+bags is at least ``SIMILARITY``.
+
+A window without any shingle of an item has similarity 0, so windows are made only
+where a shingle occurs that some item has.  Each gets a SimHash fingerprint of 64 bits.
+Multi-index tables find the items near it: of ``RADIUS`` = 19 differing bits at most, one
+of the four blocks of 16 bits has 4 or fewer, so a table for each block, with the items
+under every value within 4 bits of theirs, gives all items within the radius.  The
+exact similarity then decides.  Windows at 0.8 differ in 8 to 10 bits on average with a
+standard deviation of 2.9, so the radius leaves them more than 3; of unrelated items the
+tables let one in seven through, and the radius one in a thousand.
+
+Benchmark items come in blocks of ``ITEMS`` at most, chosen by hash of item_id, so what
+is sent to the executors is bounded; a benchmark of more items costs a pass over the
+documents for each block.  Items without words or without item_id and null texts match
+nothing.  Of rows of one item_id the best counts.  Repeated documents are judged alike,
+each by itself, and a null doc_id is reported like any other.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ from pyspark.sql import functions as F
 from chronicle.llm.shared import documents, small_batches
 from chronicle.llm.words import Words, mix, slices, split_words
 
-SHINGLE, SIMILARITY, RADIUS, ITEMS = 5, 0.8, 23, 4000
-_PLACE = np.uint64(8) * np.arange(8, dtype=np.uint64)
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= RADIUS // 8
+SHINGLE, SIMILARITY, RADIUS, ITEMS = 5, 0.8, 19, 4000
+#: Blocks of a fingerprint, and all values that a block of it may be changed by.
+BLOCKS = 4
+_PLACE = np.uint64(16) * np.arange(BLOCKS, dtype=np.uint64)
+_CHANGES = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= RADIUS // BLOCKS).astype(np.uint16)
 _FILTER = np.uint64(64 - 22)
 
 
@@ -43,6 +51,17 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    return ((prints[:, None] >> _PLACE) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _near_items(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items in the order of the values near their own ``part``, and where each value begins."""
+    value = (part[:, None] ^ _CHANGES).ravel()
+    order = np.argsort(value, kind="stable")
+    return np.searchsorted(value[order], np.arange((1 << 16) + 1)), np.repeat(np.arange(len(part), dtype=np.int32), len(_CHANGES))[order]
+
+
 def weighted_jaccard(a: dict[int, int], b: dict[int, int]) -> float:
     shared = sum(min(n, b[k]) for k, n in a.items() if k in b)
     return shared / (sum(a.values()) + sum(b.values()) - shared)
@@ -66,7 +85,7 @@ class Benchmark:
     shingles: np.ndarray  # sorted hashes of shingles
     owners: list[np.ndarray]  # for each, the items that have it
     filled: np.ndarray
-    tables: list[list[np.ndarray]]  # for each block and byte, the items near it
+    tables: list[tuple[np.ndarray, np.ndarray]]  # for each block, where each value begins in the list of the items near it
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Benchmark:
@@ -87,8 +106,7 @@ class Benchmark:
         filled = np.zeros(1 << 22, dtype=bool)
         filled[(mix(shingles) >> _FILTER).astype(np.int64)] = True
         prints = np.array(prints, dtype=np.uint64)
-        parts = ((prints[:, None] >> _PLACE) & np.uint64(255)).astype(np.uint8) if len(prints) else np.zeros((0, 8), dtype=np.uint8)
-        tables = [[np.flatnonzero(_NEAR[parts[:, b], v]) for v in range(256)] for b in range(8)]
+        tables = [_near_items(part) for part in _blocks(prints).T]
         return Benchmark(np.array([i for i, _ in rows]), lengths, bags, prints, shingles, list(table.values()), filled, tables)
 
     def matches(self, words: Words) -> list[tuple[int, int, float, int, int]]:
@@ -105,7 +123,11 @@ class Benchmark:
             text = np.searchsorted(words.offsets, at, side="right") - 1
             for lo, hi in _runs(text):
                 self._search(int(text[lo]), words, size, hashes, at[lo:hi], where[lo:hi], best)
-        return [(t, i, s, at - int(words.offsets[t]), at - int(words.offsets[t]) + int(self.lengths[i])) for (t, i), (s, at) in sorted(best.items())]
+        found: dict[tuple[int, int], tuple[int, int, float, int, int]] = {}
+        for (t, i), (s, at) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], x[1][1], x[0][1])):
+            first = at - int(words.offsets[t])
+            found.setdefault((t, int(self.ids[i])), (t, i, s, first, first + int(self.lengths[i])))
+        return list(found.values())
 
     def _search(self, text: int, words: Words, size: int, hashes: np.ndarray, at: np.ndarray, shingle: np.ndarray, best: dict) -> None:
         """Windows of one text that hold any of its shingles ``at``, for the lengths of the items that own them."""
@@ -133,12 +155,10 @@ class Benchmark:
         sums = np.zeros((b - a + count + 1, 64), dtype=np.int32)
         np.cumsum(bits_of(hashes[a : b + count]), axis=0, out=sums[1:])
         prints = packed(sums[count:] - sums[:-count])
-        parts = ((prints[:, None] >> _PLACE) & np.uint64(255)).astype(np.uint8)
-        seen = np.unique(parts[:, :], axis=0) if len(parts) > 1 else parts
         near = set()
-        for row in seen:  # the items that share a near block with any window
-            for block in range(8):
-                near.update(self.tables[block][row[block]].tolist())
+        for (begin, items), part in zip(self.tables, _blocks(prints).T, strict=True):
+            for value in np.unique(part).tolist():
+                near.update(items[begin[value] : begin[value + 1]].tolist())
         for item in sorted(i for i in near if self.lengths[i] == n):
             close = np.flatnonzero(np.bitwise_count(prints ^ self.prints[item]) <= RADIUS)
             bag = self.bags[item]
@@ -163,7 +183,7 @@ def benchmark_blocks(benchmark: DataFrame, items: int = ITEMS) -> Iterator[Bench
     held = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     blocks = -(-held.count() // items)
     for k in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # one block
+        rows = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # one block
         yield Benchmark.of([(r.item_id, r.text) for r in rows])
 
 
@@ -207,3 +227,17 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+a AS (SELECT item_id, n, k, sh, count(*) AS c FROM (SELECT item_id, n, k, array_to_string(w[p:p + k - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i)) GROUP BY ALL),
+b AS (SELECT doc_id, total, k, p, array_to_string(w[p:p + k - 1], ' ') AS sh FROM (SELECT doc_id, w, len(w) AS total, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+h AS (SELECT doc_id, total, p, sh, item_id, n, k, c FROM b JOIN a USING (k, sh)),
+s AS (SELECT DISTINCT doc_id, total, item_id, n, k, unnest(range(greatest(1, p - (n - k)), p + 1)) AS s FROM h),
+x AS (SELECT s.doc_id, s.item_id, s.n, s.k, s.s, h.sh, least(count(*), min(h.c)) AS shared FROM s JOIN h ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.p BETWEEN s.s AND s.s + s.n - s.k WHERE s.s + s.n - 1 <= s.total GROUP BY ALL),
+y AS (SELECT doc_id, item_id, n, s, CAST(sum(shared) AS DOUBLE) / CAST(2 * (n - k + 1) - sum(shared) AS DOUBLE) AS similarity FROM x GROUP BY doc_id, item_id, n, k, s)
+SELECT doc_id, item_id, similarity, CAST(s - 1 AS INTEGER) AS start_word, CAST(s - 1 + n AS INTEGER) AS end_word FROM y WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+"""

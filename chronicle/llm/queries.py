@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronicle.llm.decontaminate import op10_decontaminate
+from chronicle.llm.decontaminate import OP10_SQL, op10_decontaminate
 from chronicle.llm.fingerprints import op5_fingerprints
 from chronicle.llm.html_text import op2_html_text
 from chronicle.llm.language_id import op1_language_id
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
