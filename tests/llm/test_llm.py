@@ -301,11 +301,41 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def said(tree, row):
+    while not isinstance(tree, float):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree >= 0.5
+
+
 def test_tree_fits_its_table():
-    def said(tree, row):
-        while not isinstance(tree, float):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree >= 0.5
+    tree, rows = html_text.train_tree(), html_text.labelled_rows()
+    assert sum(said(tree, row) == bool(row[-1]) for row in rows) > 0.99 * len(rows) and 100 < len(rows) < 1200
+
+    def used(t):
+        return set() if isinstance(t, float) else {html_text.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    assert html_text.FEATURES[tree[0]] not in ("tag", "name") and {"words", "links", "group_words", "group_links"} & used(tree) and {"words_before", "links_before", "words_after", "links_after"} & used(tree)
+
+
+ARTICLE = "<article><h1>{}</h1><p>" + "word " * 60 + "</p>{}<p>" + "more " * 70 + "</p></article>"
+
 
+@pytest.mark.parametrize(
+    ("head", "middle", "line"),
+    [
+        ("<a href=x>Linked heading</a>", "<p>" + "short " * 20 + "</p>", "Linked heading"),
+        ("T", "<p><a href=x>" + "all linked " * 11 + "</a></p>", ("all linked " * 11).strip()),
+        ("T", "<p class='share-price'>The share price rose</p>", "The share price rose"),
+        ("T", "<section id='side-effects'><p>" + "effects " * 30 + "</p></section>", ("effects " * 30).strip()),
+        ("T", "<p>before <span class='advert'>BUY NOW</span> after</p>", "before after"),
+        ("T", "<p>before <span hidden>not seen</span> after <i style='display: none'>nor this</i>end</p>", "before after end"),
+        ("T", "<ul><li class=ad>BUY<li>first item<li>second item</ul>", "first item\nsecond item"),
+    ],
+)
+def test_html_text_of_an_article(head, middle, line):
+    found = html_text.blocks(ARTICLE.format(head, middle))
     tree = html_text.train_tree()
-    assert all(said(tree, row) == bool(row[-1]) for row in html_text.LABELLED)
+    kept = [f[0] for f, x in zip(found, html_text.features(found), strict=True) if said(tree, x)]
+    shown = "T" if head == "T" else "Linked heading"
+    middle_lines = line.split("\n") if head == "T" else [("short " * 20).strip()]
+    assert kept == [shown, ("word " * 60).strip(), *middle_lines, ("more " * 70).strip()]
