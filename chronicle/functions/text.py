@@ -116,3 +116,18 @@ def html_escaped(text: Column) -> Column:
     for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(plain), F.lit(coded))
     return text
+
+
+def emphasised(text: Column) -> Column:
+    """Words between single asterisks as HTML emphasis."""
+    return F.regexp_replace(text, r"\*([^*]+)\*", "<em>$1</em>")
+
+
+def cited(text: Column, citations: Column) -> Column:
+    """``{k}`` as a mark with the number and title of citation k (label, n), counted from 0; a question mark if there is none."""
+    mark = lambda label, n: F.concat(F.lit('<sup class="cited" title="'), label, F.lit('">['), n, F.lit("]</sup>"))
+    known = F.coalesce(citations, F.array().cast("array<struct<label: string, n: int>>"))
+    numbered = F.transform(known, lambda c, k: F.struct(F.concat(F.lit("{"), k.cast("string"), F.lit("}")).alias("at"), mark(html_escaped(F.coalesce(c["label"], F.lit(""))), c["n"].cast("string")).alias("mark")))
+    # Of many replacements in a row none may look into another one's label, so braces there are coded.
+    done = F.aggregate(numbered, text, lambda out, c: F.replace(out, c["at"], F.replace(c["mark"], F.lit("{"), F.lit("&#123;"))))
+    return F.regexp_replace(done, r"\{\d+\}", '<sup class="cited" title="">[?]</sup>')

@@ -82,6 +82,17 @@ def source_refs(units: DataFrame, by: str) -> DataFrame:
     return units.groupBy(by).agg(F.array_sort(F.collect_set("raw_ref")).alias("source_refs"))
 
 
+def tagged_handles(units: DataFrame, handles: DataFrame) -> DataFrame:
+    """``units`` (id, author) with the ``contact`` and ``kind`` of their author's handle (handle, contact, kind).
+
+    Handles are compared without blanks, dashes, dots and brackets and in lower case; an unknown one stays as it is.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[\s().-]", ""))
+    known = handles.select(plain("handle").alias("_handle"), "contact", "kind").dropDuplicates(["_handle"])
+    out = units.withColumn("_own", plain("author")).join(known, F.col("_own") == F.col("_handle"), "left")
+    return out.withColumn("contact", F.coalesce("contact", "author")).drop("_own", "_handle")
+
+
 def dates_in(text: Column) -> Column:
     """ISO dates that a text names."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)))

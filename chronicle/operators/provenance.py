@@ -43,11 +43,20 @@ def memory_samples(memories: DataFrame, memory_events: DataFrame, events: DataFr
     shown = F.substring(F.coalesce("content", F.lit("")), 1, SHOWN_CHARS).alias("content")
     first = joined.withColumn("rank", rank).where(F.col("rank") <= keep)
     first = first.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("rank", "event_id", "t_utc", shown, "source", "raw_ref"))).alias("events"))
-    totals = memory_events.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_events"))
-    out = memories.join(totals, "memory_id", "left").join(first, "memory_id", "left")
+    out = memories.join(event_totals(memory_events), "memory_id", "left").join(first, "memory_id", "left")
     return out.withColumns({"n_events": F.coalesce("n_events", F.lit(0)), "events": F.coalesce("events", F.array().cast(out.schema["events"].dataType))})
 
 
+def event_totals(memory_events: DataFrame) -> DataFrame:
+    """(memory_id, n_events): the events linked to each memory."""
+    return memory_events.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def raw_events(counted: DataFrame) -> DataFrame:
+    """(memories, raw_events): all memories (n_events) and the raw events behind them, in one row."""
+    return counted.agg(F.count(F.lit(1)).alias("memories"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("raw_events"))
+
+
 def trace(principles: DataFrame, links: DataFrame, memory_events: DataFrame, events: DataFrame) -> DataFrame:
     """(principle_id, memory_id, event_id and the event's columns): each way from a principle to raw events."""
     ids = principles.select(F.col("id").alias("principle_id"))
@@ -68,7 +77,7 @@ def top_principles(counted: DataFrame, n: int) -> DataFrame:
 
 
 def find_by_prefix(table: DataFrame, prefixes: DataFrame, key: str = "id") -> DataFrame:
-    """(prefix, id): the first id that begins with each prefix; prefixes are a short list given by a user."""
+    """(prefix, id): the first ``key`` that begins with each prefix, as ``key``; prefixes are a short list given by a user."""
     hits = table.join(F.broadcast(prefixes), F.col(key).cast("string").startswith(F.col("prefix")))
     return hits.groupBy("prefix").agg(F.min(key).alias(key))
 

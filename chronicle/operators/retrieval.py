@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronicle.functions.text import first_filled
 
 #: Fixed constants of the ranking formulas, from their public descriptions.
 BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
-PEOPLE, FACT_TOKENS, QUERY_BLOCK = 25, 3000, 512
+PEOPLE, FACT_TOKENS, QUERY_BLOCK, LEXICAL_ROWS = 25, 3000, 512, 500
 
 
 def words(text):
@@ -31,22 +33,75 @@ def of_types(memories: DataFrame, types: list[str] | None) -> DataFrame:
     return memories if not types else memories.where(F.col("fact_type").isin(*types))
 
 
-def lexical(memories: DataFrame, queries: DataFrame, k: int, types: list[str] | None = None, key: str = "id") -> DataFrame:
-    """(query_id, key, score, rank) by BM25 over the memories (key, text).
+def lexical(memories: DataFrame, queries: DataFrame, k: int, types: list[str] | None = None, key: str = "id", digits: int = 6) -> DataFrame:
+    """(query_id, key, score, rank) by BM25 over the memories (key, text), rounded to ``digits``; equal scores by key.
 
-    Only postings of the queries' terms are scored; where Spark finds the terms few, it
-    sends them to the scan, and each memory is reduced to them before anything moves.
+    The queries, a stated set, go to the executors in blocks of QUERY_BLOCK at most.  One pass
+    counts the memories that have each of their terms; in a second one each batch of memories
+    is scored against a block as one product of matrices and gives only its own best ``k`` of
+    each query, so few rows move and a common term is no large group.  A null text has no words.
     """
-    rows = of_types(memories, types).select(key, words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    posting = rows.select(key, "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = posting.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("mean")))
-    scored = asked.join(tf, "term").join(df, "term").join(F.broadcast(total)).groupBy("query_id", key).agg(F.sum(part).alias("score"))  # one row
-    return ranked(scored, k, key)
+    rows = of_types(memories, types).select(key, F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    terms = F.array_distinct(words(F.col("text"))).alias("terms")
+    asked = queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", terms)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kinds = T.StructType([asked.schema["query_id"], memories.schema[key]]).add("score", "double")
+    out = None
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # one block
+        known = pa.array(sorted({t for r in block for t in r.terms}), pa.string())
+        number = {t: i for i, t in enumerate(known.to_pylist())}
+        wanted = np.zeros((len(known), len(block)))
+        for j, r in enumerate(block):
+            wanted[[number[t] for t in r.terms], j] = 1.0
+
+        def place(batch: pa.RecordBatch, known=known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Each memory's length, and memory and term of each of its words that are asked for."""
+            lists = batch.column("w")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            term = pc.index_in(lists.flatten(), known)
+            own = np.repeat(np.arange(batch.num_rows), size)
+            there = term.is_valid().to_numpy(zero_copy_only=False)
+            return size, own[there], term.drop_null().to_numpy()
+
+        def count(batches: Iterator[pa.RecordBatch], place=place, width=len(known)) -> Iterator[pa.RecordBatch]:
+            held, seen, total = np.zeros(width, dtype=np.int64), 0, 0
+            for batch in batches:
+                size, own, term = place(batch)
+                held += np.bincount(np.unique(own * width + term) % width, minlength=width) if width else 0
+                seen, total = seen + batch.num_rows, total + int(size.sum())
+            at = np.arange(-2, width)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([[seen, total], held]))], names=["term", "n"])
+
+        counts = {r.term: r.n for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
+        seen, total = counts.get(-2, 0), counts.get(-1, 0)
+        df = np.array([counts.get(i, 0) for i in range(len(known))], dtype=float)
+        weight = np.log(1 + (seen - df + 0.5) / (df + 0.5))[:, None] * wanted
+        sent = memories.sparkSession.sparkContext.broadcast(([r.query_id for r in block], weight, total / max(seen, 1)))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
+            ids, weight, mean = sent.value
+            for whole in batches:
+                for batch in (whole.slice(i, LEXICAL_ROWS) for i in range(0, whole.num_rows, LEXICAL_ROWS)):
+                    size, own, term = place(batch)
+                    if not len(own) or not ids:
+                        continue
+                    tf = np.zeros((batch.num_rows, len(weight)))
+                    np.add.at(tf, (own, term), 1.0)
+                    tf *= (BM25_K1 + 1) / (tf + (BM25_K1 * (1 - BM25_B + BM25_B * size / max(mean, 1e-9)))[:, None])
+                    scores = np.round(tf @ weight, digits)
+                    keys = batch.column(key).to_numpy(zero_copy_only=False)
+                    best = [np.lexsort((keys, -scores[:, j]))[:k] for j in range(len(ids))]
+                    j = np.repeat(np.arange(len(ids)), [len(x) for x in best])
+                    best = np.concatenate(best)
+                    hit = scores[best, j] > 0
+                    j, best = j[hit], best[hit]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in j], kinds_pa[0]), batch.column(key).take(pa.array(best)), pa.array(scores[best, j])], names=["query_id", key, "score"])
+
+        kinds_pa = [to_arrow_type(f.dataType) for f in kinds.fields]
+        part = rows.mapInArrow(score, kinds)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, k, key)
 
 
 def vector(items: DataFrame, queries: DataFrame, k: int, key: str = "id", digits: int = 6) -> DataFrame:
@@ -115,6 +170,15 @@ def time_label(start, mentioned, end):
     return first_filled(start, mentioned, end)
 
 
+def network_sizes(**networks: DataFrame) -> DataFrame:
+    """(network, n): how many rows each network has."""
+    out = None
+    for name, df in networks.items():
+        row = df.agg(F.lit(name).alias("network"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def networks(bank: str, episodic: DataFrame, semantic: DataFrame, persons: DataFrame, principles: DataFrame, connections: str) -> DataFrame:
     """One row for one user's page: arrays of the given short lists."""
     out = episodic.sparkSession.createDataFrame([(bank, connections)], "bank_id string, connections string").withColumn("_one", F.lit(1))

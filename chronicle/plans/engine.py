@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronicle.operators import episodes, retrieval, transcripts
+from chronicle.operators import episodes, provenance, report, retrieval, transcripts
+from chronicle.operators.episodes import GAP_MINUTES
 from chronicle.operators.upsert import EventTable
 from chronicle.schema import CAPSULE, MEDIA
-from chronicle.sources import capsules, chats, messages, photos, plays, watch_history
+from chronicle.sources import capsules, chats, jsonl, messages, photos, plays, watch_history
+from chronicle.tables import materialize
 
 DEFAULT_EPISODES = 20
 
@@ -59,18 +61,19 @@ class Engine:
     def ingest_watch_history(self, path: str) -> int:
         return self.events.add(watch_history.events(watch_history.load(self.spark, path)))
 
-    def episodes(self, gap_minutes: float = episodes.GAP_MINUTES, source: str | None = None) -> DataFrame:
+    def episodes(self, gap_minutes: float = GAP_MINUTES, source: str | None = None) -> DataFrame:
         rows = self.events.read()
         return episodes.build(rows if source is None else rows.where(F.col("source") == source), gap_minutes)
 
-    def load(self, bank: str, limit: int | None = DEFAULT_EPISODES) -> int:
-        docs = transcripts.documents(self.episodes(), limit)
+    def load(self, bank: str, limit: int | None = DEFAULT_EPISODES, gap_minutes: float = GAP_MINUTES) -> int:
+        docs = transcripts.documents(self.episodes(gap_minutes), limit)
         transcripts.retain(docs, f"{self.root}/banks", bank)
         return self.bank(bank).count()
 
     def bank(self, bank: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.root}/banks").where(F.col("bank") == bank)
-        return rows.select(F.col("metadata")["episode_id"].alias("id"), F.col("content").alias("text"), "timestamp", "tags").dropDuplicates(["id"])
+        names = F.transform("entities", lambda e: e["text"]).alias("entities")
+        return rows.select(F.col("metadata")["episode_id"].alias("id"), F.col("content").alias("text"), "timestamp", "tags", names).dropDuplicates(["id"])
 
     def show(self, bank: str, query: str, k: int = 25) -> list[str]:
         """A short report: what was recalled, and a reflection on it."""
@@ -78,22 +81,73 @@ class Engine:
         lines = [f"- {r.text}" for r in found.collect()]  # k rows at most
         return ["MEMORIES", *(lines or ["  (nothing surfaced)"]), "REFLECTION", self.provider.reflect(found, query) or "  (nothing to reflect on)"]
 
+    def memories(self, bank: str) -> DataFrame:
+        """The bank's documents as memories of experiences."""
+        none = F.lit(None).cast("timestamp")
+        return self.bank(bank).select("id", "text", F.col("timestamp").alias("occurred_start"), none.alias("mentioned_at"), none.alias("occurred_end"), "entities", F.lit("experience").alias("fact_type"))
+
+    def recalled(self, memories: DataFrame, types: list[str], query: str | None, k: int) -> DataFrame:
+        """The ``k`` memories of some types that answer a query best, or without one the latest, with their rank."""
+        rows = retrieval.of_types(memories, types)
+        if query:
+            return self.provider.recall(rows, query, k)
+        latest = rows.orderBy(F.desc("occurred_start"), "id").limit(k)
+        return latest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("occurred_start"), "id")))  # k rows
+
+    def report(self, bank: str, query: str | None = None, k: int = 25, memories: DataFrame | None = None, observations: DataFrame | None = None, principles: DataFrame | None = None) -> list[str]:
+        """The five sections as lines; people are counted in the memories' entities if no ``observations`` (name, text, t) are given."""
+        held = self.memories(bank) if memories is None else memories
+        lived, known = (self.recalled(held, [kind], query, k) for kind in ("experience", "world"))
+        if observations is None:
+            observations = held.select(F.explode("entities").alias("name"), F.lit(None).cast("string").alias("text"), F.col("occurred_start").alias("t"))
+        if principles is None:
+            principles = self.spark.createDataFrame([], "rank long, name string, content string")
+        facts = lived.select("text", "rank").unionByName(known.select("text", (F.col("rank") + k).alias("rank")))
+        text = self.provider.reflect(facts, query or "")
+        sections = [report.experiences(lived), report.facts(known), report.persons(observations), report.beliefs(principles)]
+        return [x for section in sections for x in report.lines(section)] + report.connections(text)
+
+    def write_episodes(self, path: str, gap_minutes: float = GAP_MINUTES) -> int:
+        """The episodes as JSON lines; their number."""
+        return jsonl.write(jsonl.episode_records(self.episodes(gap_minutes)), path)
+
+    def export(self, principles: DataFrame, edges: DataFrame, links: DataFrame, edge_links: DataFrame, memories: DataFrame, memory_events: DataFrame, path: str, origin: str, n: int | None = None) -> dict[str, int]:
+        """Write one user's graph as JSON: all principles, or the ``n`` of most weight with the edges between them; what was written."""
+        chosen = provenance.principle_counts(principles, links, memory_events)
+        chosen = chosen if n is None else provenance.top_principles(chosen, n)
+        chosen = materialize(chosen, "export-principles")
+        parts = provenance.slice_of(chosen.select("id"), edges, links, edge_links, memory_events, memories.select(F.col("memory_id").alias("id")))
+        kept = memories.join(parts["memories"], "memory_id", "left_semi")
+        counted = kept.join(provenance.event_totals(memory_events), "memory_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+        counted = materialize(counted, "export-memories")
+        provenance.graph_json(chosen, parts["edges"], counted, origin).write.mode("overwrite").text(path)
+        totals = provenance.raw_events(counted).first()
+        return {"principles": chosen.count(), "edges": parts["edges"].count(), "memories": totals.memories, "raw_events": totals.raw_events}
+
     def add_capsules(self, new: DataFrame, media: DataFrame) -> tuple[int, DataFrame]:
-        """Store capsules with their media, and as events; the number stored, and those rejected with a reason."""
+        """Store capsules with their media, and as events; the number stored, and those rejected with a reason.
+
+        The capsules themselves are written last: if a step before fails, none is there, and the
+        same call may be made again.
+        """
         good, bad = capsules.named(new)
-        if good.join(self.capsules().select("id"), "id", "left_semi").limit(1).count():
+        if good.groupBy("id").count().where("count > 1").limit(1).count() or good.join(self._table("capsules", CAPSULE).select("id"), "id", "left_semi").limit(1).count():
             raise ValueError("a capsule with this id is there already")
-        nested = capsules.with_media(good, media)
+        own = media.join(good.select(F.col("id").alias("capsule_id")), "capsule_id", "left_semi").select(*media.columns)
+        own.write.mode("append").parquet(f"{self.root}/media")
+        stored = self.events.add(capsules.events(capsules.with_media(good, media)))
         good.write.mode("append").parquet(f"{self.root}/capsules")
-        media.join(good.select(F.col("id").alias("capsule_id")), "capsule_id", "left_semi").select(*media.columns).write.mode("append").parquet(f"{self.root}/media")
-        return self.events.add(capsules.events(nested)), bad
+        return stored, bad
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.root}/{name}")
+        """A table under the root; an empty one if nothing was written yet."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def capsules(self, id: str | None = None) -> DataFrame:
         """Capsules with their media, newest first; one of them by its id."""
         rows = self._table("capsules", CAPSULE)
         rows = rows if id is None else rows.where(F.col("id") == id)
-        return capsules.with_media(rows, self._table("media", MEDIA)).orderBy(F.desc("created_at"), "id")
+        return capsules.with_media(rows, self._table("media", MEDIA).dropDuplicates(["id"])).orderBy(F.desc("created_at"), "id")

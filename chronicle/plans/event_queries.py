@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.functions.ids import chat_id
+from chronicle.functions.ids import chat_id, clocked_id
 from chronicle.functions.text import contact_label, shorten
 from chronicle.functions.time import from_ns_2001, iso_utc, to_ns_2001
 from chronicle.operators import episodes, transcripts, upsert
 from chronicle.plans import views
 from chronicle.plans.catalogue import iso, query
+from chronicle.sources import jsonl, plays
 
 _EVENTS = """
 e AS (SELECT CAST(event_id AS VARCHAR) AS id, ts AS t_utc, event_id AS seq, 'user' || user_id AS thread_id, event_type AS content, props,
@@ -62,8 +63,8 @@ def w1_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w2_thread_order", _numbered(720) + "SELECT thread_id, min(first_seq) AS thread_seq, count(*) AS episodes, CAST(sum(n_events) AS BIGINT) AS events FROM g GROUP BY thread_id")
 def w2_thread_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = episodes.build(views.events(spark, sf_dir), 720)
-    return built.groupBy("thread_id", "thread_seq").agg(F.count(F.lit(1)).alias("episodes"), F.sum("n_events").alias("events"))
+    built = episodes.gathered(episodes.numbered_in_days(views.events(spark, sf_dir), 720))
+    return built.groupBy("thread_id").agg(F.min("first_seq").alias("thread_seq"), F.count(F.lit(1)).alias("episodes"), F.sum("n_events").alias("events"))
 
 
 @query(
@@ -119,8 +120,6 @@ def k3_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o3_union_sources", "SELECT source, count(*) AS n FROM (SELECT 'app' AS source FROM events UNION ALL SELECT 'spotify' FROM lineitem WHERE l_quantity * 2000 >= 30000) GROUP BY source")
 def o3_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chronicle.sources import plays
-
     return upsert.union_sources(views.events(spark, sf_dir), plays.events(views.plays(spark, sf_dir))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -148,12 +147,12 @@ def x13_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.verify(changed, ids).select("id", shown.alias("intact"))
 
 
-@query("x3_apple_time", "SELECT event_id, epoch_us(ts) AS micros, CAST((CAST(epoch_us(ts) AS DOUBLE) / 1e6 - 978307200.0) * 1e9 AS BIGINT) // 1000000 AS key_ms FROM events")
+@query("x3_apple_time", "SELECT event_id, epoch_us(ts) AS micros, CAST(trunc((CAST(epoch_us(ts) AS DOUBLE) / 1e6 - 978307200.0) * 1e9) AS BIGINT) AS key_ns FROM events")
 def x3_apple_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There and back: nanoseconds since 2001 to a time, and the time to the number in ids, here in whole milliseconds."""
+    """There and back: nanoseconds since 2001 to a time, and the time to the number in ids, to the nanosecond."""
     message, _, _ = views.message_tables(spark, sf_dir)
     t = from_ns_2001(F.col("date"))
-    return message.select(F.col("ROWID").alias("event_id"), F.unix_micros(t).alias("micros"), F.expr("0L").alias("z"), (to_ns_2001(t) / 1_000_000).cast("bigint").alias("key_ms")).drop("z")
+    return message.select(F.col("ROWID").alias("event_id"), F.unix_micros(t).alias("micros"), to_ns_2001(t).alias("key_ns"))
 
 
 @query("x9_chat_ids", "SELECT conv_id, turn, substr(sha256(conv_id || '|m' || turn), 1, 16) AS id FROM conversations")
@@ -180,3 +179,26 @@ SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE
 )
 def x21_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", shorten(F.col("text"), 1000).alias("short"))
+
+
+@query("w1_equal_times", "SELECT CAST(user_id AS VARCHAR) AS thread_id, count(*) AS n_events, min(CAST(event_id AS VARCHAR)) AS first_id FROM events GROUP BY user_id")
+def w1_equal_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of a thread at one time and with one order number: ids alone order them."""
+    e = views.events(spark, sf_dir).withColumns({"t_utc": F.lit("2024-01-01").cast("timestamp"), "ingest_seq": F.lit(0).cast("bigint"), "thread_id": F.substring("thread_id", 5, 20)})
+    return episodes.gathered(episodes.numbered(e)).select("thread_id", "n_events", "first_id")
+
+
+@query("x11_clocked_id", f"SELECT event_id, substr(sha256(event_id || '|' || event_type || '|' || {iso('ts')}), 1, 16) AS id FROM events")
+def x11_clocked_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events")
+    return e.select("event_id", clocked_id(F.col("event_id").cast("string"), F.col("event_type"), clock=F.col("ts")).alias("id"))
+
+
+@query(
+    "p6_event_records",
+    f"""SELECT CAST(event_id AS VARCHAR) AS id, '{{"id":"' || event_id || '","t_utc":"' || {iso("ts")} || '","author_role":"' || (CASE WHEN event_type IN ('purchase', 'click') THEN 'self' ELSE 'other' END) || '","content":"' || event_type
+  || '","thread_id":"user' || user_id || '","reply_to":null,"raw_ref":"events#' || event_id || '","source":"app","additional_data":' || replace(props, ': ', ':') || '}}' AS record FROM events""",
+)
+def p6_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a record, extra data as an object."""
+    return views.events(spark, sf_dir).select("id", F.to_json(jsonl.record(F.col), {"ignoreNullFields": "false"}).alias("record"))

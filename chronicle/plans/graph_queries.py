@@ -25,7 +25,7 @@ def g1_principles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g2_edges",
-    f"WITH {_LADDER} SELECT c_custkey AS id, count(DISTINCT o_orderkey) AS n_memories, count(DISTINCT event_id) AS n_events FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON o_custkey = c_custkey LEFT JOIN me ON memory_id = o_orderkey GROUP BY c_custkey",
+    f"WITH {_LADDER} SELECT c_custkey AS id, count(DISTINCT o_orderkey) AS n_memories, count(DISTINCT event_id) AS n_events FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN me ON memory_id = o_orderkey GROUP BY c_custkey",
 )
 def g2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = views.ladder(spark, sf_dir)
@@ -36,7 +36,7 @@ def g2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g2_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As g2_edges, over all orders."""
     x = views.ladder(spark, sf_dir)
-    return provenance.edge_counts(x["edges"], x["all_edge_links"], x["memory_events"]).select("id", "n_memories", "n_events")
+    return provenance.edge_counts(x["edges"], x["edge_links"], x["memory_events"]).select("id", "n_memories", "n_events")
 
 
 @query(
@@ -60,7 +60,7 @@ def j8_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j9_edge_trace",
-    f"WITH {_LADDER} SELECT c_custkey AS edge_id, o_orderkey AS memory_id, event_id FROM customer JOIN orders ON c_custkey = o_custkey AND o_orderkey % 2 = 0 JOIN me ON memory_id = o_orderkey JOIN ev ON ev.id = event_id",
+    f"WITH {_LADDER} SELECT c_custkey AS edge_id, o_orderkey AS memory_id, event_id FROM customer JOIN orders ON c_custkey = o_custkey JOIN me ON memory_id = o_orderkey JOIN ev ON ev.id = event_id",
 )
 def j9_edge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = views.ladder(spark, sf_dir)
@@ -72,7 +72,7 @@ def j9_edge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j9_edge_trace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As j9_edge_trace, over all orders."""
     x = views.ladder(spark, sf_dir)
-    out = provenance.trace(x["edges"], x["all_edge_links"].withColumnRenamed("edge_id", "principle_id"), x["memory_events"], x["events"])
+    out = provenance.trace(x["edges"], x["edge_links"].withColumnRenamed("edge_id", "principle_id"), x["memory_events"], x["events"])
     return out.select(F.col("principle_id").alias("edge_id"), "memory_id", "event_id")
 
 
@@ -94,7 +94,7 @@ def w6_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_LADDER}, ch AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
 ie AS (SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT id FROM ch) AND c_custkey + 1 IN (SELECT id FROM ch)),
 pm AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT id FROM ch)),
-em AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IN (SELECT id FROM ie)),
+em AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT id FROM ie)),
 mm AS (SELECT o_orderkey FROM pm UNION SELECT o_orderkey FROM em),
 km AS (SELECT * FROM me WHERE memory_id IN (SELECT o_orderkey FROM mm))
 SELECT 'edges' AS part, count(*) AS n FROM ie UNION ALL SELECT 'principle_memories', count(*) FROM pm UNION ALL SELECT 'edge_memories', count(*) FROM em UNION ALL SELECT 'memories', count(*) FROM mm
@@ -116,7 +116,7 @@ def g6_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH o AS (SELECT * FROM orders), me AS (SELECT l_orderkey AS memory_id, l_orderkey * 8 + l_linenumber AS event_id FROM lineitem)
 SELECT 'edge source' AS "check", 0 AS orphans UNION ALL SELECT 'edge target', (SELECT count(*) FROM customer WHERE c_custkey + 1 NOT IN (SELECT c_custkey FROM customer))
 UNION ALL SELECT 'link principle', (SELECT count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'link memory', 0
-UNION ALL SELECT 'edge link edge', (SELECT count(*) FROM o WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'edge link memory', 0
+UNION ALL SELECT 'edge link edge', (SELECT count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'edge link memory', 0
 UNION ALL SELECT 'event link memory', (SELECT count(*) FROM me WHERE memory_id NOT IN (SELECT o_orderkey FROM o)) UNION ALL SELECT 'event link event', 0
 UNION ALL SELECT 'principle without event', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM o JOIN me ON memory_id = o_orderkey))""",
 )
@@ -125,11 +125,10 @@ def g7_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.integrity(x["principles"], x["edges"], x["memories"], x["links"], x["edge_links"], x["memory_events"], x["events"])
 
 
-@query("f11_prefix", "SELECT r_name AS prefix, min(p_partkey) AS id FROM (SELECT 'small' AS r_name UNION ALL SELECT 'red' UNION ALL SELECT 'hot g') JOIN part ON starts_with(p_name, r_name) GROUP BY r_name")
+@query("f11_prefix", "SELECT r_name AS prefix, min(p_name) AS p_name FROM (SELECT 'small' AS r_name UNION ALL SELECT 'red' UNION ALL SELECT 'hot g') JOIN part ON starts_with(p_name, r_name) GROUP BY r_name")
 def f11_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = views.table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("id"))
     prefixes = spark.createDataFrame([("small",), ("red",), ("hot g",)], "prefix string")
-    return names.join(F.broadcast(prefixes), F.col("p_name").startswith(F.col("prefix"))).groupBy("prefix").agg(F.min("id").alias("id"))
+    return provenance.find_by_prefix(views.table(spark, sf_dir, "part"), prefixes, "p_name")
 
 
 _TFIDF = """
@@ -160,15 +159,19 @@ def g4_knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g5_components",
-    """WITH RECURSIVE e AS (SELECT c_custkey AS u, o_orderkey % 3000 + 1000000 AS v FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderkey % 8 = c_custkey % 8),
+    """WITH RECURSIVE e AS (SELECT c_custkey * 3 AS u, c_nationkey * 3 + 2 AS v FROM customer UNION ALL SELECT s_suppkey * 3 + 1, s_nationkey * 3 + 2 FROM supplier),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), n AS (SELECT DISTINCT u FROM b),
 r(node, root) AS (SELECT u, u FROM n UNION SELECT b.v, r.root FROM r JOIN b ON r.node = b.u) SELECT node, min(root) AS root FROM r GROUP BY node HAVING min(root) <> node""",
 )
 def g5_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph of customers and residues of their orders; each node that is not a root with its root."""
-    c, o = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    links = c.join(o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_orderkey") % 8 == F.col("c_custkey") % 8))
-    return graph.components(links.select(F.col("c_custkey").alias("u"), (F.col("o_orderkey") % 3000 + 1000000).alias("v")))
+    """The graph of all customers, suppliers and their nations; each node that is not a root with its root.
+
+    Nodes are keys times three, plus 0 for customers, 1 for suppliers and 2 for nations.
+    """
+    node = lambda key, kind: F.col(key).cast("bigint") * 3 + kind
+    c = views.table(spark, sf_dir, "customer").select(node("c_custkey", 0).alias("u"), node("c_nationkey", 2).alias("v"))
+    s = views.table(spark, sf_dir, "supplier").select(node("s_suppkey", 1).alias("u"), node("s_nationkey", 2).alias("v"))
+    return graph.components(c.unionByName(s))
 
 
 @query("g5_components_all")
@@ -201,3 +204,30 @@ def g9_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g11_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = views.table(spark, sf_dir, "part").select(F.col("p_type").alias("text"), F.col("p_brand").alias("place"))
     return graph.places_of(cited).select("text", F.array_join("places", ",").alias("places"))
+
+
+@query("a13_raw_events", "SELECT (SELECT count(*) FROM orders) AS memories, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS raw_events")
+def a13_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = views.ladder(spark, sf_dir)
+    counted = x["memories"].join(provenance.event_totals(x["memory_events"]), "memory_id", "left")
+    return provenance.raw_events(counted.withColumn("n_events", F.coalesce("n_events", F.lit(0))))
+
+
+@query("a10_group_sizes", "WITH k AS (SELECT c_nationkey AS nation, min(c_custkey) AS root, count(*) AS size FROM customer GROUP BY 1) SELECT c_custkey AS id, root, size FROM customer JOIN k ON nation = c_nationkey")
+def a10_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers linked to the first one of their nation: each one's group and its size."""
+    c = views.table(spark, sf_dir, "customer")
+    first = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("a"))
+    pairs = c.join(first, "c_nationkey").select("a", F.col("c_custkey").alias("b")).where("a <> b")
+    return graph.grouped(c.select(F.col("c_custkey").alias("id")), pairs)
+
+
+@query(
+    "g12_focus",
+    """WITH b AS (SELECT c_custkey AS node, c_custkey + 1 AS other FROM customer UNION SELECT c_custkey + 1, c_custkey FROM customer), f AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT node FROM f UNION SELECT other FROM b WHERE node IN (SELECT node FROM f)""",
+)
+def g12_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.ladder(spark, sf_dir)["edges"].select(F.col("src_principle_id").alias("src"), F.col("dst_principle_id").alias("dst"))
+    chosen = views.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"))
+    return graph.focus(graph.adjacency(e), chosen)

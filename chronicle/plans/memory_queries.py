@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronicle.functions.text import bullets, cited, emphasised
 from chronicle.operators import ledger, provenance, retrieval
 from chronicle.plans import views
 from chronicle.plans.catalogue import query
@@ -20,8 +21,7 @@ k AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PART
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs, items = views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark")
-    wide = retrieval.lexical(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("query_id"), "text"), 1 << 31, key="doc_id")
-    return retrieval.ranked(wide.withColumn("score", F.round("score", 6)).drop("rank"), k, "doc_id")
+    return retrieval.lexical(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("query_id"), "text"), k, key="doc_id")
 
 
 @query("r3_lexical_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10")
@@ -103,10 +103,10 @@ def y11_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.once(keyed).select("assertion_key", "id")
 
 
-@query("y9_queue", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS band, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+@query("y9_queue", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS band, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM orders")
 def y9_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred of the queue, as the SQL asks; y9_queue_all has all of it."""
-    return y9_queue_all(spark, sf_dir).where("place <= 100")
+    """Each order with its place in the whole queue; y9_queue_all is its older name."""
+    return y9_queue_all(spark, sf_dir)
 
 
 @query("y9_queue_all", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS band, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM orders")
@@ -146,3 +146,51 @@ def y2_source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r11_labelled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, la = views.table(spark, sf_dir, "documents").select("doc_id", "source"), views.table(spark, sf_dir, "labels")
     return d.join(la, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("labelled"), F.sum("toxic").cast("bigint").alias("toxic"))
+
+
+_KINDS = "m AS (SELECT doc_id, source, lang, n_chars, CASE quality WHEN 1 THEN 'world' WHEN 0 THEN 'experience' ELSE 'opinion' END AS kind FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query("f14_fact_types", f"WITH {_KINDS} SELECT doc_id AS id, kind AS fact_type FROM m WHERE kind IN ('world', 'experience')")
+def f14_fact_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.of_types(views.memories(spark, sf_dir), ["world", "experience"]).select("id", "fact_type")
+
+
+@query("a12_network_sizes", f"WITH {_KINDS} SELECT kind AS network, count(*) AS n FROM m WHERE kind <> 'opinion' GROUP BY kind UNION ALL SELECT 'people', count(DISTINCT source) FROM m")
+def a12_network_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = views.memories(spark, sf_dir)
+    return retrieval.network_sizes(world=retrieval.of_types(m, ["world"]), experience=retrieval.of_types(m, ["experience"]), people=m.where("source IS NOT NULL").select("source").distinct())
+
+
+@query("x25_time_label", "SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderstatus = 'F' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END, nullif(CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE '' END, ''), 'customer ' || o_custkey) AS label FROM orders")
+def x25_time_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.table(spark, sf_dir, "orders")
+    start = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select(F.col("o_orderkey").alias("id"), retrieval.time_label(start, F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).otherwise(""), F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).alias("label"))
+
+
+@query("x27_bullets", "SELECT l_orderkey AS id, string_agg('- ' || l_linenumber || l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS lines FROM lineitem GROUP BY l_orderkey")
+def x27_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: F.concat(x["l_linenumber"].cast("string"), x["l_returnflag"]))
+    return views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(bullets(facts).alias("lines"))
+
+
+@query(
+    "x33_marked_up",
+    """SELECT o_orderkey AS id, replace(replace(replace('<em>' || o_orderpriority || '</em> by {0}, {1} and {7}', '{0}', '<sup class="cited" title="order ' || o_orderkey || '">[' || (o_custkey % 7) || ']</sup>'),
+  '{1}', '<sup class="cited" title="a &amp; b">[2]</sup>'), '{7}', '<sup class="cited" title="">[?]</sup>') AS html FROM orders""",
+)
+def x33_marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.table(spark, sf_dir, "orders")
+    told = F.concat(F.lit("*"), F.col("o_orderpriority"), F.lit("* by {0}, {1} and {7}"))
+    citations = F.array(F.struct(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("label"), (F.col("o_custkey") % 7).cast("int").alias("n")), F.struct(F.lit("a & b").alias("label"), F.lit(2).alias("n")))
+    return o.select(F.col("o_orderkey").alias("id"), cited(emphasised(told), citations).alias("html"))
+
+
+@query("y3_handles", "SELECT s_suppkey AS id, coalesce(n_name, s_name) AS contact FROM supplier LEFT JOIN (SELECT n_name, min(s_name) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name) ON p = s_name")
+def y3_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names as handles, of which the first of each nation has a contact, written in another way."""
+    s, n = views.table(spark, sf_dir, "supplier"), views.table(spark, sf_dir, "nation")
+    known = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.min("s_name").alias("p"))
+    handles = known.select(F.concat(F.lit("("), F.upper(F.regexp_replace("p", "#", "# ")), F.lit(")")).alias("handle"), F.col("n_name").alias("contact"), F.lit("place").alias("kind"))
+    return ledger.tagged_handles(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("author")), handles).select("id", "contact")

@@ -11,7 +11,8 @@ from chronicle.functions.text import media_kind, rendered_blocks
 from chronicle.functions.time import iso_utc
 from chronicle.plans import views
 from chronicle.plans.catalogue import iso, query
-from chronicle.sources import capsules, chats, messages, photos, plays
+from chronicle.sources import capsules, chats, messages, photos, plays, watch_history
+from chronicle.sources.common import refused
 
 _CHAT = "c AS (SELECT DISTINCT user_id, 'user' || user_id AS chat_identifier, CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'name' || user_id END AS display_name FROM events)"
 
@@ -67,8 +68,7 @@ def s9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f8_unknown_sender", "SELECT role AS sender, count(*) AS n FROM conversations WHERE role NOT IN ('user', 'assistant') GROUP BY role")
 def f8_unknown_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.chat_rows(spark, sf_dir).where(~F.col("sender").isin(*chats.SENDERS))
-    return rows.groupBy("sender").agg(F.count(F.lit(1)).alias("n"))
+    return refused(views.chat_rows(spark, sf_dir), "sender", chats.SENDERS)
 
 
 @query(
@@ -180,3 +180,40 @@ def x22_media_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s16_video_ids", "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
 def s16_video_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", F.try_parse_url(F.col("url"), F.lit("QUERY"), F.lit("page")).alias("page"))
+
+
+@query("x6_blob_bodies", "SELECT doc_id, sha256(text) AS content_sha256, 'chat.db#' || doc_id AS raw_ref FROM documents WHERE regexp_matches(text, '\\S')")
+def x6_blob_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of messages whose texts only stand in BLOBs; the BLOBs of blank texts give none."""
+    e = messages.events(*views.blob_messages(spark, sf_dir), 1)
+    return e.select(F.col("ingest_seq").alias("doc_id"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"), "raw_ref")
+
+
+_PHOTO = f"""WITH p AS (SELECT l_orderkey, list_sort(list_distinct(list(s_name))) AS people FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 4 <> 0 GROUP BY l_orderkey)
+SELECT 'photo' || o_orderkey AS id, 'photos.sqlite#' || o_orderkey AS raw_ref, {iso("o_orderdate")} AS t, '{{"lat":' || coalesce(CAST({_COORD.format(m=7, n=90)} AS VARCHAR), 'null') || ',"lng":' || coalesce(CAST({_COORD.format(m=11, n=170)} AS VARCHAR), 'null')
+  || ',"original_filename":"' || (CASE WHEN o_orderkey % 3 = 0 THEN 'IMG ' || o_orderkey ELSE o_orderkey || '.jpg' END) || '","original_path":"originals/' || (o_orderkey % 10) || '/' || o_orderkey || '.jpg","width":' || (CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4000 ELSE 0 END)
+  || ',"height":0,"is_favorite":' || (CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END) || ',"is_hidden":false,"is_trashed":false,"kind":"' || (CASE WHEN o_orderstatus = 'P' THEN 'video' ELSE 'photo' END)
+  || '","people":[' || coalesce(array_to_string(list_transform(people, lambda x: '"' || x || '"'), ','), '') || ']}}' AS additional_data FROM orders LEFT JOIN p ON o_orderkey = l_orderkey WHERE o_orderkey % 50 <> 0"""
+
+
+@query("p3_photo_events", _PHOTO)
+def p3_photo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = photos.events(photos.records(*views.photo_tables(spark, sf_dir)))
+    return e.select("id", "raw_ref", iso_utc(F.col("t_utc")).alias("t"), "additional_data")
+
+
+_WATCH_REF = f"""((CASE WHEN contains(url, '?') THEN 'yt:video:' || page_id ELSE 'yt:title:page ' || page_id END) || '#' || {iso("make_timestamp((1600000000 + page_id * 60) * 1000000)")})"""
+
+
+@query(
+    "s16_watch_events",
+    f"""SELECT substr(sha256({_WATCH_REF}), 1, 16) AS id, {_WATCH_REF} AS raw_ref, 'Listened to ''page ' || page_id || '''' || (CASE WHEN length(url) > 40 THEN ' on channel ' || page_id ELSE '' END) AS content FROM pages""",
+)
+def s16_watch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch_history.events(views.watch_history(spark, sf_dir)).select("id", "raw_ref", "content")
+
+
+@query("a12_pins", f"""WITH {_CARDS} SELECT count(*) FILTER (WHERE cover IS NOT NULL) AS found, count(*) AS placed FROM q WHERE lat IS NOT NULL AND lng IS NOT NULL""")
+def a12_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = capsules.cards(capsules.with_media(*views.capsule_tables(spark, sf_dir)))
+    return capsules.discovered(cards.withColumn("discovered", F.col("cover").isNotNull()))

@@ -149,8 +149,7 @@ def ladder(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "edges": c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("src_principle_id"), (F.col("c_custkey") + 1).alias("dst_principle_id"), F.lit("supports").alias("relation")),
         "memories": o.select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderpriority").alias("text")),
         "links": o.select(F.col("o_custkey").alias("principle_id"), F.col("o_orderkey").alias("memory_id")),
-        "edge_links": o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("edge_id"), F.col("o_orderkey").alias("memory_id")),
-        "all_edge_links": o.select(F.col("o_custkey").alias("edge_id"), F.col("o_orderkey").alias("memory_id")),
+        "edge_links": o.select(F.col("o_custkey").alias("edge_id"), F.col("o_orderkey").alias("memory_id")),
         "memory_events": li.select(F.col("l_orderkey").alias("memory_id"), event.alias("event_id")),
         "events": li.groupBy(event.alias("id")).agg(
             F.min("l_shipdate").alias("t_utc"), F.min(F.concat(F.col("l_returnflag"), F.lit(" "), F.col("l_partkey").cast("string"))).alias("content"), F.lit("app").alias("source"), F.min("l_linestatus").alias("raw_ref")
@@ -158,6 +157,35 @@ def ladder(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def blob_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(message, chat, links): documents as messages of one chat whose texts only stand in BLOBs, with all three kinds of lengths."""
+    d = table(spark, sf_dir, "documents")
+    n = F.octet_length("text")
+    low_first = lambda size: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)]))
+    head = lambda mark: F.unhex(F.lit("040B84012B" + mark))
+    length = F.when(n < 128, F.concat(head(""), low_first(1))).when(n < 1 << 16, F.concat(head("81"), low_first(2))).otherwise(F.concat(head("82"), low_first(4)))
+    blob = F.concat(length, F.col("text").cast("binary"), F.unhex(F.lit("8684")))
+    message = d.select(F.col("doc_id").alias("ROWID"), F.lit(None).cast("string").alias("text"), blob.alias("attributedBody"), F.lit(1).alias("is_from_me"), (F.col("doc_id") * 1_000_000_000).alias("date"))
+    chat = spark.createDataFrame([(1, "notes", "")], "ROWID long, chat_identifier string, display_name string")
+    return message, chat, d.select(F.lit(1).cast("long").alias("chat_id"), F.col("doc_id").alias("message_id"))
+
+
+def watch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as played videos; those without a query in their address have no video id."""
+    p = table(spark, sf_dir, "pages")
+    video = F.when(F.col("url").contains("?"), F.concat(F.lit("https://video.example/watch?v="), F.col("page_id").cast("string")))
+    time = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    channel = F.when(F.length("url") > 40, F.array(F.struct(F.concat(F.lit("channel "), F.col("page_id").cast("string")).alias("name"), F.col("url").alias("url"))))
+    return p.select(F.lit("YouTube Music").alias("header"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), video.alias("titleUrl"), channel.alias("subtitles"), time.alias("time"))
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as memories of three kinds, by what their label says."""
+    d, la = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    kind = F.when(F.col("quality") == 1, "world").when(F.col("quality") == 0, "experience").otherwise("opinion")
+    return d.join(la, "doc_id", "left").select(F.col("doc_id").alias("id"), "source", "lang", "n_chars", kind.alias("fact_type"))
+
+
 def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): the distinct names of parts, each with its least key."""
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id")).select("id", "text")

@@ -72,5 +72,10 @@ def map_points(shown: DataFrame) -> DataFrame:
     return shown.where("lat IS NOT NULL AND lng IS NOT NULL")
 
 
+def discovered(points: DataFrame) -> DataFrame:
+    """(found, placed): pins whose column ``discovered`` holds, and all pins that have a place, in one row."""
+    return map_points(points).agg(F.count_if("discovered").alias("found"), F.count(F.lit(1)).alias("placed"))
+
+
 def bounding_box(points: DataFrame) -> DataFrame:
     return points.agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"))

@@ -33,8 +33,9 @@ def parent(uuid: Column) -> Column:
 
 def events(export: DataFrame) -> DataFrame:
     """Canonical events of all messages that render to some text; an unknown sender is an error."""
-    rows = messages(export).withColumn("_text", rendered_blocks(F.col("text"), F.col("content"))).where(F.col("_text") != "")
     sender = required(F.col("sender"), SENDERS, "sender")
+    # The sender is judged in the filter, so that a message without text is judged too.
+    rows = messages(export).withColumn("_text", rendered_blocks(F.col("text"), F.col("content"))).where(sender.isNotNull() & (F.col("_text") != ""))
     reply = parent(F.col("parent_message_uuid"))
     return canonical(
         rows,

@@ -28,6 +28,11 @@ def canonical(df: DataFrame, seq: list[Column], **values: Column) -> DataFrame:
     return df.select(*[values[c].cast(kinds[c]).alias(c) for c in COLUMNS])
 
 
+def refused(df: DataFrame, value: str, allowed: tuple[str, ...]) -> DataFrame:
+    """(value, n): what ``required`` would stop at, and how often; for a look before a load."""
+    return df.where(F.col(value).isNull() | ~F.col(value).isin(*allowed)).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def required(value: Column, allowed: tuple[str, ...], what: str) -> Column:
     """The value, or an error that stops the job if it is none of the allowed ones."""
     return F.when(value.isin(*allowed), value).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(value, F.lit("null")))))
