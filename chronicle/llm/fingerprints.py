@@ -15,7 +15,9 @@ once, to its bucket, and every later grouping stays there.
 A null or empty text, or one without words, has the empty bag: like another empty one
 in all samples and like no other bag in any.  Rows are ordered by doc_id, a null before
 all others, and then by text, so repeated rows follow each other; a single row is its
-own next one.  No rows give no rows.
+own next one.  No rows give no rows.  All rows of one doc_id, or of none, lie in one
+bucket, so a table of a single doc_id is one task.  Columns besides doc_id and text are
+not looked at.
 """
 
 from __future__ import annotations
@@ -128,8 +130,9 @@ def as_text(signature: Column) -> Column:
     return F.when(signature.isNull() | F.element_at(signature, 1).isNull(), "0" * 8 * SAMPLES).otherwise(some)
 
 
-def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = in_order(documents(spark, sf_dir).select("doc_id", "text"))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` with its signature, that of its edited text, and its likeness to that and to its successor."""
+    rows = in_order(docs.select("doc_id", "text"))
     texts = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     meta = texts.select("bucket", "r", "guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"))
     # Up to the exchange both sides need the same columns, so Spark moves the texts once.
@@ -143,3 +146,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("sig0")).alias("fingerprint"), as_text(F.col("sig1")).alias("edited_fingerprint"),
         likeness(F.col("sig0"), F.col("sig1")).alias("near_edited"), likeness(F.col("sig0"), F.col("_next")).alias("near_next"),
     )
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
