@@ -287,7 +287,7 @@ def near_candidates(distinct: DataFrame, steps: tuple[int, ...], every: bool) ->
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Those of ``pairs`` (u, v) of keys whose shingle sets are alike; ``texts`` (key, text) has each key at least once."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-wanted")  # read three times
     slot = lambda c: F.pmod(F.xxhash64(F.lit("slot"), c), F.lit(SLOTS)).cast("int")
     hit = np.zeros(SLOTS // 8, dtype=np.uint8)
     table = wanted.select(slot("key").alias("s")).groupBy(F.expr("s div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, s % 8)")).alias("bits")).toArrow()
