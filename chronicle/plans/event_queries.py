@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from chronicle.operators import episodes, transcripts, upsert
 from chronicle.plans import views
 from chronicle.plans.catalogue import iso, query
 from chronicle.sources import jsonl, plays
+from chronicle.tables import shared_dir
 
 _EVENTS = """
 e AS (SELECT CAST(event_id AS VARCHAR) AS id, ts AS t_utc, event_id AS seq, 'user' || user_id AS thread_id, event_type AS content, props,
@@ -202,3 +205,25 @@ def x11_clocked_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a record, extra data as an object."""
     return views.events(spark, sf_dir).select("id", F.to_json(jsonl.record(F.col), {"ignoreNullFields": "false"}).alias("record"))
+
+
+@query(
+    "w7_first_documents",
+    _numbered(720).rstrip()
+    + f""",
+s AS (SELECT thread_id, min(first_seq) AS thread_seq FROM g GROUP BY thread_id)
+SELECT thread_id AS entity, {iso("a")} AS timestamp FROM g JOIN s USING (thread_id) ORDER BY thread_seq, thread_id, episode LIMIT 20""",
+)
+def w7_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the first twenty episodes, threads in the order in which they were first seen."""
+    docs = transcripts.documents(episodes.build(views.events(spark, sf_dir), 720), 20)
+    return docs.select(F.col("entities")[0]["text"].alias("entity"), iso_utc(F.col("timestamp")).alias("timestamp"))
+
+
+@query("s11_episode_records", _numbered(720) + f"""SELECT substr(sha256(thread_id || chr(0) || first_id || chr(0) || {iso("a")}), 1, 16) AS id, {iso("a")} AS t_start, {iso("b")} AS t_end, n_events FROM g""")
+def s11_episode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes as JSON lines, read back."""
+    path = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    jsonl.write(jsonl.episode_records(episodes.build(views.events(spark, sf_dir), 720)), path)
+    back = jsonl.read_episodes(spark, path)
+    return back.select(F.col("episode_id").alias("id"), iso_utc(F.col("start_utc")).alias("t_start"), iso_utc(F.col("end_utc")).alias("t_end"), F.size("events").cast("bigint").alias("n_events"))

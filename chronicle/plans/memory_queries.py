@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronicle.functions.text import bullets, cited, emphasised
+from chronicle.functions.text import bullets, cited, emphasised, from_first_bold, keyword_reply
 from chronicle.operators import ledger, provenance, retrieval
 from chronicle.plans import views
 from chronicle.plans.catalogue import query
@@ -194,3 +194,49 @@ def y3_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.min("s_name").alias("p"))
     handles = known.select(F.concat(F.lit("("), F.upper(F.regexp_replace("p", "#", "# ")), F.lit(")")).alias("handle"), F.col("n_name").alias("contact"), F.lit("place").alias("kind"))
     return ledger.tagged_handles(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("author")), handles).select("id", "contact")
+
+
+@query("x26_from_bold", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE '**' || o_orderpriority || '** said' END AS said FROM orders")
+def x26_from_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.table(spark, sf_dir, "orders")
+    bold = F.concat(F.lit("**"), F.col("o_orderpriority"), F.lit("** said"))
+    told = F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).when(F.col("o_orderstatus") == "F", F.concat(F.lit("thinking about it: "), bold)).otherwise(bold)
+    return o.select(F.col("o_orderkey").alias("id"), from_first_bold(told).alias("said"))
+
+
+@query(
+    "x34_keyword_reply",
+    """SELECT p_partkey AS id, CASE WHEN contains(lower(p_name), 'small') OR contains(lower(p_name), 'large') THEN 'a size' WHEN contains(lower(p_name), 'red') THEN 'a colour' ELSE 'not known' END AS reply FROM part""",
+)
+def x34_keyword_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [(("small", "large"), "a size"), (("red",), "a colour")]
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keyword_reply(F.col("p_name"), rules, "not known").alias("reply"))
+
+
+@query("y10_pruned", "SELECT user_id AS subject, CASE WHEN sum(value) / count(*) / 100 >= 0.5 THEN 'kept' ELSE 'archived' END AS part FROM events GROUP BY user_id")
+def y10_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("subject")).agg((F.sum("value") / F.count(F.lit(1)) / 100).alias("confidence"))
+    kept, gone = ledger.pruned(e, 0.5)
+    return kept.select("subject", F.lit("kept").alias("part")).unionByName(gone.select("subject", F.lit("archived").alias("part")))
+
+
+@query("y5_contradictions", "SELECT o_orderkey AS id, CASE WHEN s_suppkey IS NOT NULL THEN 'high' ELSE 'normal' END AS priority, coalesce(s_name, '') AS contradiction FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey")
+def y5_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, s = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "supplier")
+    items = o.select(F.col("o_orderkey").alias("id"), F.lit("normal").alias("priority"), F.col("o_custkey").alias("parent_contradiction"))
+    out = ledger.with_contradictions(items, s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text")))
+    return out.select("id", "priority", F.coalesce("contradiction", F.lit("")).alias("contradiction"))
+
+
+@query(
+    "r9_bundle",
+    """SELECT 'me' AS bank_id, 'none' AS connections, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = 0) AS episodic, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = 1) AS semantic,
+  (SELECT count(*) FROM region) AS persons, 0 AS principles""",
+)
+def r9_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of two regions as memories, regions as people, no principles."""
+    n, r = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region")
+    of = lambda k: n.where(F.col("n_regionkey") == k).select("n_name")
+    names = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x["n_name"])), ",").alias(c)
+    row = retrieval.networks("me", of(0), of(1), r.select("r_name"), r.where("false").select("r_name"), "none")
+    return row.select("bank_id", "connections", names("episodic"), names("semantic"), F.size("people").cast("bigint").alias("persons"), F.size("principles").alias("principles"))

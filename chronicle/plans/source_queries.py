@@ -217,3 +217,28 @@ def s16_watch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a12_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = capsules.cards(capsules.with_media(*views.capsule_tables(spark, sf_dir)))
     return capsules.discovered(cards.withColumn("discovered", F.col("cover").isNotNull()))
+
+
+@query("f9_rejected_places", "SELECT CAST(c_custkey AS VARCHAR) AS id, 'blank place name' AS reason FROM customer WHERE c_mktsegment = 'BUILDING'")
+def f9_rejected_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capsules of one segment's customers have blank names; every other one is accepted."""
+    c = views.table(spark, sf_dir, "customer")
+    blank = c.select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", " \t").otherwise(F.col("c_name")).alias("place_name"))
+    return capsules.named(blank)[1].select("id", "reason")
+
+
+@query("f9_rejected_uploads", "SELECT CAST(o_orderkey AS VARCHAR) AS capsule_id, CASE WHEN o_orderstatus = 'F' THEN 'photo' WHEN o_orderstatus = 'O' THEN 'text' ELSE 'unsupported media type' END AS outcome FROM orders")
+def f9_rejected_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "image/png").when(F.col("o_orderstatus") == "O", "text/plain").otherwise("application/pdf")
+    good, bad = capsules.checked_uploads(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("capsule_id"), kind.alias("content_type")))
+    return good.select("capsule_id", F.col("kind").alias("outcome")).unionByName(bad.select("capsule_id", F.col("reason").alias("outcome")))
+
+
+@query("x23_notes", "SELECT CAST(o_custkey AS VARCHAR) AS capsule_id, arg_min(o_orderpriority, o_orderkey) AS note FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+def x23_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as uploads of their customers: texts with blanks around them, blank texts, photos."""
+    o = views.table(spark, sf_dir, "orders")
+    body = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("\n "), F.col("o_orderpriority"), F.lit("  "))).otherwise("  ")
+    kind = F.when(F.col("o_orderstatus") == "F", "image/png").otherwise("text/plain; charset=utf-8")
+    uploads = o.select(F.col("o_custkey").cast("string").alias("capsule_id"), F.col("o_orderkey").alias("pos"), body.cast("binary").alias("content"), kind.alias("content_type"))
+    return capsules.notes(uploads)
