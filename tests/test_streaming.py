@@ -31,4 +31,5 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(r.n_events for r in spark.table("s1").collect()) == [1, 2, 2]
     got = {r.first_id: r.n_events for r in spark.table("s2").collect()}
-    assert got.items() <= want.items() and {"a", "c"} <= set(got)
+    # The watermark has passed all but the last episode, which stays open.
+    assert got == {i: n for i, n in want.items() if i != "f"}
