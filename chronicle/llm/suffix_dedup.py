@@ -12,25 +12,28 @@ the beginning of a retained suffix, and equal windows hold it at the same place.
 3. Each suffix is compared with its neighbours in that order: the nearest one before it
    and the nearest one after it that a smaller doc_id has.  Where their words agree for
    ``WINDOW`` words or more, to the left and to the right of the anchor, the words that
-   agree are a match.  What lies open at a partition's edge meets in one more pass.
+   agree are a match.  What lies open at a partition's edge meets in one more pass.  The
+   same is done in a second order, by gram and then by the words before the anchor, as
+   neighbours in the first one agree most to the right and in the second most to the left.
 4. The matches of all anchors of a document are laid together, which extends them over
    passages of any length.
 
 Words themselves are compared, so no two different passages can be taken for one.  Of
-the documents that hold a passage all but the first give a row.  A neighbour has the
-longest match to the right; a document that shares less to the right but more to the
-left with a third one can lose a few words at a passage's end by that.  Null or short
-texts, and rows without doc_id, give none.  Repeats inside one document, and repeated
+the documents that hold a passage all but the first give a row.  A document that shares
+less than its neighbours on both sides, but together enough, with a third one can lose a
+few words at a passage's end by that.  Null or short texts, and rows without doc_id, give
+none.  Repeats inside one document, and repeated
 rows of one doc_id, do not count as shared.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronicle.llm.shared import documents, materialize, small_batches
@@ -199,16 +202,26 @@ def passages(spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tu
     return [(a, b, sorted(s)) for a, b, s in out]
 
 
+def _spans(held: DataFrame, order: list[str], parts: int, window: int, gram: int) -> DataFrame:
+    """(doc_id, start_word, end_word, source_doc_id): the matches of neighbours in one order of the suffixes."""
+    ranges = held.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = materialize(matches(ranges, window, gram), "matches")
+    edge = found.where("end_word IS NULL").select("right", "left", "doc_id", F.col("start_word").alias("pos")).withColumn("gram", _gram(gram))
+    last = matches(edge.coalesce(1).sortWithinPartitions(*order), window, gram)  # a few rows of each partition
+    return found.unionByName(last).where("end_word IS NOT NULL").select("doc_id", "start_word", "end_word", "source_doc_id")
+
+
+def _gram(size: int) -> Column:
+    return F.substring_index("right", " ", size)
+
+
 def shared_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, start_word, end_word, source_doc_ids) of each passage of ``window`` words or more that earlier documents hold."""
-    held = materialize(suffixes(docs, window, gram), "suffixes")
+    held = materialize(suffixes(docs, window, gram), "suffixes").withColumn("gram", _gram(gram))
     size = held.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 12)).first()[0] or 0
-    order = ["right", "left", "doc_id", "pos"]
-    ranges = held.repartitionByRange(max(1, size // TASK_BYTES, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    found = materialize(matches(ranges, window, gram), "matches")
-    edge = found.where("end_word IS NULL").select("right", "left", "doc_id", F.col("start_word").alias("pos"))
-    last = matches(edge.coalesce(1).sortWithinPartitions(*order), window, gram)  # a few rows of each partition
-    spans = found.unionByName(last).where("end_word IS NOT NULL").select("doc_id", "start_word", "end_word", "source_doc_id").distinct()
+    parts = max(1, size // TASK_BYTES, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    orders = (["right", "left", "doc_id", "pos"], ["gram", "left", "right", "doc_id", "pos"])
+    spans = reduce(DataFrame.unionByName, [_spans(held, order, parts, window, gram) for order in orders]).distinct()
     gathered = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "source_doc_id")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
