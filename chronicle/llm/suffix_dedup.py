@@ -207,7 +207,7 @@ def _spans(held: DataFrame, order: list[str], parts: int, window: int, gram: int
     ranges = held.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = materialize(matches(ranges, window, gram), "matches")
     edge = found.where("end_word IS NULL").select("right", "left", "doc_id", F.col("start_word").alias("pos")).withColumn("gram", _gram(gram))
-    last = matches(edge.coalesce(1).sortWithinPartitions(*order), window, gram)  # a few rows of each partition
+    last = matches(edge.repartition(1).sortWithinPartitions(*order), window, gram)  # a few rows of each partition, which alone move
     return found.unionByName(last).where("end_word IS NOT NULL").select("doc_id", "start_word", "end_word", "source_doc_id")
 
 
