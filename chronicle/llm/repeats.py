@@ -15,8 +15,8 @@ Four steps, of which only the last two see more than one in five words:
 
 Counts are aggregated before they move and joins are plain equi-joins on window
 hashes, so a passage that a third of all documents hold is no large group anywhere.
-A null doc_id neither lends nor loses.  Windows are told apart by two hashes of 96 bits
-in all, so that none are mistaken among 10**13 of them.
+A null doc_id neither lends nor loses.  Windows are told apart by hashes of 64 bits: two
+different ones meet with a chance of 2**-64 for each pair.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronicle.llm.shared import materialize, small_batches
-from chronicle.llm.words import BASES, mix, shared_windows, slices, split_words
+from chronicle.llm.words import mix, shared_windows, slices, split_words
 
 #: Bits of the table of keys that documents share, as a power of two: 16 MB.
 FILTER_BITS = 27
@@ -77,7 +77,7 @@ def in_filter(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def candidate_windows(docs: DataFrame, filled: np.ndarray, size: int, width: int) -> DataFrame:
-    """(h, g, doc_id, pos) of every window with a shared key; h and g are two hashes of its words."""
+    """(h, doc_id, pos) of every window with a shared key; h is a hash of its words."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +87,14 @@ def candidate_windows(docs: DataFrame, filled: np.ndarray, size: int, width: int
             full, keys, place = shared_windows(words, size, width)
             near = in_filter(table, keys)
             full, place = full[near], place[near]
-            other = (words.windows(size, BASES[1])[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             owner = words.text_of()[place]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
             pos = place - words.offsets[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full.view(np.int64)), pa.array(other), pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["h", "g", "doc_id", "pos"]
+                [pa.array(full.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "pos"]
             )
 
-    return small_batches(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, g int, doc_id long, pos int")
+    return small_batches(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
 
 
 def repeated_windows(docs: DataFrame, size: int, width: int) -> DataFrame:
@@ -104,10 +103,10 @@ def repeated_windows(docs: DataFrame, size: int, width: int) -> DataFrame:
     Bit b of block k stands for the window that begins at word 64 k + b.
     """
     windows = candidate_windows(docs, key_filter(shared_keys(docs, size, width)), size, width)
-    first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("h", "g", "source")
+    first = windows.groupBy("h").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("h", "source")
     # Written out, so that Spark knows its size: it is sent to all if small, and else joined with splits of the common hashes.
     first = materialize(first, "first-windows")
-    found = windows.join(first, ["h", "g"]).where("source < doc_id")
+    found = windows.join(first, "h").where("source < doc_id")
     bit = F.expr("shiftleft(1L, pos & 63)")
     return found.groupBy("doc_id", "source", F.expr("shiftright(pos, 6)").alias("block")).agg(F.bit_or(bit).alias("bits"))
 
