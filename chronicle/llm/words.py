@@ -125,15 +125,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches so that a slice holds about SLICE_BYTES of ``column``."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches so that a slice holds about ``most`` bytes of ``column``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, bounds = buffers(batch.column(column))
         row = 0
         while row < batch.num_rows:
-            end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + SLICE_BYTES, side="right")) - 1)
+            end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + most, side="right")) - 1)
             end = min(end, batch.num_rows)
             yield batch.slice(row, end - row), data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
             row = end
