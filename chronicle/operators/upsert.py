@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronicle.functions.ids import content_sha
+from chronicle.operators.levels import LevelledTable
 from chronicle.schema import EVENT
 
 
@@ -48,7 +46,7 @@ def append_new(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def by_source(events: DataFrame, source: str | None = None) -> DataFrame:
-    """Events in time order, of one source or all; a source is a partition of the stored table."""
+    """Events in time order, of one source or all; a source is a folder of the stored table."""
     rows = events if source is None else events.where(F.col("source") == source)
     return rows.orderBy("t_utc", "ingest_seq", "id")
 
@@ -59,92 +57,11 @@ def verify(events: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(intact, ids["id"] == intact["_id"], "left").select("id", "intact")
 
 
-class EventTable:
-    """Parquet folders and a log that says which of them are the table.
-
-    ``base`` holds one row for each id, partitioned by source; each upsert adds a folder of
-    its own rows and a log entry, so its cost is that of the new rows.  Readers lay the
-    newer rows over the base; after ``MOST_DELTAS`` upserts the base is written anew.  A log
-    entry is a file that is written under another name and then renamed to the next
-    number: a stop at any moment leaves the table of the entry before.  Two writers at
-    once are an error for the later one.
-    """
-
-    MOST_DELTAS = 20
+class EventTable(LevelledTable):
+    """Events by id; a source is a folder of each bucket, and files are sorted by time."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _log(self) -> list[int]:
-        folder = self._of(f"{self.path}/_log")
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def _state(self) -> tuple[int, dict]:
-        """The number of the last log entry and what it says; without one the table is empty."""
-        numbers = self._log()
-        if not numbers:
-            return 0, {"base": None, "deltas": []}
-        lines = self.spark.read.text(f"{self.path}/_log/{numbers[-1]:010d}").collect()  # one line
-        return numbers[-1], json.loads(lines[0].value)
-
-    def _commit(self, number: int, state: dict) -> None:
-        draft, entry = self._of(f"{self.path}/_log/draft-{uuid.uuid4().hex}"), self._of(f"{self.path}/_log/{number:010d}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray((json.dumps(state) + "\n").encode()))
-        out.close()
-        if self._fs.exists(entry) or not self._fs.rename(draft, entry):
-            raise RuntimeError(f"another writer made entry {number} of {self.path}")
-
-    def _folder(self, name: str) -> DataFrame:
-        return self.spark.read.schema(EVENT).parquet(f"{self.path}/{name}")
-
-    def read(self) -> DataFrame:
-        _, state = self._state()
-        base = self._folder(state["base"]) if state["base"] else self.spark.createDataFrame([], EVENT)
-        newer = None
-        for number, name in enumerate(state["deltas"]):
-            rows = self._folder(name).withColumn("_delta", F.lit(number))
-            newer = rows if newer is None else newer.unionByName(rows)
-        if newer is None:
-            return base
-        newer = latest(newer, order="_delta").drop("_delta")
-        return base.join(newer.select("id"), "id", "left_anti").select(*newer.columns).unionByName(newer)
-
-    def _write(self, events: DataFrame, kind: str) -> str:
-        name = f"{kind}-{uuid.uuid4().hex}"
-        events.write.partitionBy("source").parquet(f"{self.path}/{name}")
-        return name
-
-    def replace(self, events: DataFrame) -> None:
-        """Make ``events``, which have each id once, the whole table."""
-        number, _ = self._state()
-        self._commit(number + 1, {"base": self._write(events, "base"), "deltas": []})
-
-    def add(self, events: DataFrame) -> int:
-        """Upsert; the number of rows given, not of distinct ids.  The rows are evaluated once."""
-        number, state = self._state()
-        seen = Observation()
-        columns = [c.name for c in self.spark.createDataFrame([], EVENT).schema]
-        given = latest(events.select(*columns).observe(seen, F.count(F.lit(1)).alias("given")))
-        name = self._write(given, "delta")
-        rows = seen.get.get("given", 0)
-        if rows:
-            self._commit(number + 1, state | {"deltas": [*state["deltas"], name]})
-            if len(state["deltas"]) + 1 >= self.MOST_DELTAS:
-                self.replace(self.read())
-        return rows
-
-    def vacuum(self) -> int:
-        """Delete the folders that the last log entry does not name; the number deleted.  No reader may be using them."""
-        _, state = self._state()
-        kept = {state["base"], *state["deltas"], "_log"}
-        old = [s.getPath() for s in self._fs.listStatus(self._of(self.path)) if s.getPath().getName() not in kept] if self._fs.exists(self._of(self.path)) else []
-        for path in old:
-            self._fs.delete(path, True)
-        return len(old)
+        super().__init__(spark, path, EVENT, "id", "ingest_seq", ("source",), ("t_utc",))
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
