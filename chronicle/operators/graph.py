@@ -9,6 +9,8 @@ from chronicle.functions.text import tokens
 from chronicle.tables import join_split, materialize
 
 NEIGHBOURS, LEAST_SIMILARITY, CLUSTERS = 3, 0.18, 5
+#: Texts of one term that are compared in one task's tile.
+TILE = 4096
 
 
 def tfidf(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -21,15 +23,35 @@ def tfidf(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 
 
 def similarities(weights: DataFrame, least: float = LEAST_SIMILARITY, key: str = "id") -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of cosine at least ``least`` > 0.
-
-    Pairs come from shared terms, never from all pairs of texts.  Rows travel with their
-    length, so one grouping finishes a pair.
+    """(a, b, similarity), a < b: all pairs of cosine at least ``least`` > 0, by prefix filtering.
+
+    Each text's terms stand in one order, rare ones first, as a vector of length 1.  Its
+    prefix ends where the rest is shorter than ``least``.  If two texts share no term of both
+    prefixes, all that they share lies in the rest of one of them, and their cosine is less
+    (Cauchy-Schwarz).  So texts meet only by terms of their prefixes, which common terms
+    seldom are; a pair counts at the first such term that both have, and is verified there by
+    both whole vectors.  No pair moves, only vectors do, once for each term of a prefix.  A
+    term in the prefixes of more than TILE texts is cut into tiles of pairs of groups.
     """
     norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm")).where("norm > 0")
     unit = weights.where("weight <> 0").join(norms, key).select(key, "term", (F.col("weight") / F.col("norm")).alias("u"))
-    a, b = unit.select(F.col(key).alias("a"), "term", F.col("u").alias("ua")), unit.select(F.col(key).alias("b"), "term", F.col("u").alias("ub"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity")).where(F.col("similarity") >= least)
+    df = unit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vector = F.array_sort(F.collect_list(F.struct("df", "term", "u"))).alias("v")
+    vectors = unit.join(df, "term").groupBy(key).agg(vector)
+    limit = least * least - 1e-9  # so that rounding never shortens a prefix
+    end = F.aggregate("v", F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n")), lambda s, x: F.struct((s["rest"] - x["u"] * x["u"]).alias("rest"), (s["n"] + F.when(s["rest"] >= limit, 1).otherwise(0)).alias("n")))
+    terms = F.transform("v", lambda x: x["term"])
+    placed = materialize(vectors.select(F.col(key).alias("key"), F.slice(terms, F.lit(1), end["n"]).alias("prefix"), F.map_from_arrays(terms, F.transform("v", lambda x: x["u"])).alias("v")), "prefixes")
+    posted = placed.select("key", "prefix", "v", F.explode("prefix").alias("term"))
+    groups = posted.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("groups")).where("groups > 1")
+    # Fewer rows than postings / TILE; a term that is not among them is one group.
+    tiled = posted.join(groups, "term", "left").withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("g", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int"))
+    a = tiled.select("term", F.col("g").alias("i"), F.explode(F.sequence("g", F.col("groups") - 1)).alias("j"), F.col("key").alias("x"), F.col("prefix").alias("px"), F.col("v").alias("vx"))
+    b = tiled.select("term", F.explode(F.sequence(F.lit(0), "g")).alias("i"), F.col("g").alias("j"), F.col("key").alias("y"), F.col("prefix").alias("py"), F.col("v").alias("vy"))
+    first = F.get(F.array_intersect("px", "py"), F.lit(0)) == F.col("term")
+    met = a.join(b, ["term", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & first)
+    dot = F.aggregate(F.map_entries("vx"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("vy", x["key"]), F.lit(0.0)))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), dot.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def nearest_edges(pairs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -68,8 +90,10 @@ def components(links: DataFrame) -> DataFrame:
 def grouped(nodes: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
     """(key, root, size): each node's component over the similar pairs, singletons included."""
     found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = nodes.select(key).join(found, nodes[key] == found["node"], "left").select(key, F.coalesce("root", key).alias("root"))
-    return rooted.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("root")))
+    rooted = materialize(nodes.select(key).join(found, nodes[key] == found["node"], "left").select(key, F.coalesce("root", key).alias("root")), "rooted")
+    sizes = materialize(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    # The giant component stays where its nodes lie.
+    return join_split(rooted, sizes, "root", "size", rooted.count()).select(key, "root", "size")
 
 
 def clusters(nodes: DataFrame, weights: DataFrame, pairs: DataFrame, keep: int = CLUSTERS, key: str = "id") -> DataFrame:

@@ -77,9 +77,17 @@ def top_principles(counted: DataFrame, n: int) -> DataFrame:
 
 
 def find_by_prefix(table: DataFrame, prefixes: DataFrame, key: str = "id") -> DataFrame:
-    """(prefix, id): the first ``key`` that begins with each prefix, as ``key``; prefixes are a short list given by a user."""
-    hits = table.join(F.broadcast(prefixes), F.col(key).cast("string").startswith(F.col("prefix")))
-    return hits.groupBy("prefix").agg(F.min(key).alias(key))
+    """(prefix, id): the first ``key`` that begins with each prefix, as ``key``; any number of prefixes.
+
+    Each key is cut to the lengths that prefixes have and joined on equal text; the least
+    key of a cut is found before anything moves.
+    """
+    asked = prefixes.select("prefix").where("prefix IS NOT NULL").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.char_length("prefix")).distinct().collect())  # no more than the longest prefix has characters
+    text = F.col(key).cast("string")
+    cut = table.select(key, F.explode(F.array(*map(F.lit, lengths or [0]))).alias("n")).where(F.char_length(text) >= F.col("n"))
+    least = cut.groupBy(F.substring(text, F.lit(1), F.col("n")).alias("prefix")).agg(F.min(key).alias(key))
+    return least.join(asked, "prefix")
 
 
 def slice_of(chosen: DataFrame, edges: DataFrame, links: DataFrame, edge_links: DataFrame, memory_events: DataFrame, events: DataFrame) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chronicle.functions.text import first_filled
+from chronicle.tables import materialize
 
 #: Fixed constants of the ranking formulas, from their public descriptions.
 BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
@@ -156,11 +157,29 @@ def fused(*rankings: DataFrame, k: int, key: str = "id", constant: int = RRF_K)
 
 
 def within_budget(hits: DataFrame, tokens, budget: int = FACT_TOKENS, by: str = "query_id") -> DataFrame:
-    """The best hits of each query whose running sum of tokens stays within the budget."""
+    """The best hits of each query whose running sum of tokens stays within the budget; for hits that are few for each query."""
     spent = F.sum(tokens).over(Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return hits.withColumn("spent", spent).where(F.col("spent") <= budget)
 
 
+def first_within_budget(rows: DataFrame, tokens, order: list[str], budget: int = FACT_TOKENS, by: str = "query_id") -> DataFrame:
+    """``rows`` with ``spent``, in the order of ``order``, as long as their running sum of ``tokens`` stays within the budget of each ``by``.
+
+    Rows are sorted into ranges; a row for each range and ``by`` says what was spent before,
+    and only ranges that begin within the budget are looked at again, each by itself.  So a
+    ``by`` with most of the rows is no large task.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    sized = rows.withColumn("_tokens", F.coalesce(tokens, F.lit(0)).cast("bigint"))
+    ranged = materialize(sized.repartitionByRange(by, *order, F.xxhash64(*columns)).withColumn("_range", F.spark_partition_id()), "budget")
+    sums = ranged.groupBy(by, "_range").agg(F.sum("_tokens").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    open_ = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
+    kept = ranged.join(open_, (F.col("_range") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")))
+    own = F.sum("_tokens").over(Window.partitionBy("_range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn("spent", F.col("_before") + own).where(F.col("spent") <= budget).select(*columns, "spent")
+
+
 def people(observations: DataFrame, n: int = PEOPLE) -> DataFrame:
     """(name, observations, first): the people most observed, with their first observation."""
     return observations.groupBy("name").agg(F.count(F.lit(1)).alias("observations"), F.min_by("text", F.struct("t", "text")).alias("first")).orderBy(F.desc("observations"), "name").limit(n)

@@ -67,8 +67,8 @@ def r8_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, CAST(sum(t) OVER (PARTITION BY source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM h) SELECT source, doc_id, spent FROM s WHERE spent <= 3000""",
 )
 def r7_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.ranked(views.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.col("source").alias("query_id"), F.lit(0).alias("score")), 1 << 31, "doc_id")
-    return retrieval.within_budget(hits, F.expr("n_chars div 4"), by="source").select("source", "doc_id", "spent")
+    docs = views.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return retrieval.first_within_budget(docs, F.expr("n_chars div 4"), ["doc_id"], by="source").select("source", "doc_id", "spent")
 
 
 @query("r5_people", "SELECT s_name AS name, count(*) AS observations, arg_min(l_returnflag || l_partkey, (l_shipdate, l_returnflag || l_partkey)) AS first FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name ORDER BY observations DESC, name LIMIT 25")

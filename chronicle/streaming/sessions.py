@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The state store that stateful processors need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+CLOSED = "thread_id string, episode_id string, start_utc timestamp, end_utc timestamp, n_events bigint, first_id string"
 SESSION = "thread_id string, episode bigint, start_utc timestamp, end_utc timestamp, n_events bigint, first_id string"
 
 
@@ -60,3 +65,74 @@ def exact_episodes(events: DataFrame, gap_minutes: float = 30, late_minutes: int
 
     held = events.where("thread_id IS NOT NULL").withWatermark("t_utc", f"{late_minutes} minutes").select("thread_id", "t_utc", "ingest_seq", "id")
     return held.groupBy("thread_id").applyInPandasWithState(step, SESSION, "episode bigint, held array<struct<t: bigint, seq: bigint, id: string>>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Episodes(StatefulProcessor):
+    """The open events of one thread as a list, and a timer for when the first of its episodes may close.
+
+    An episode closes once the watermark has passed its last event by more than the gap:
+    no event that is still let in can belong to it.  A thread without open events has neither
+    rows nor timers, so the state is bounded by what is open.
+    """
+
+    def __init__(self, gap_minutes: float):
+        self.gap = int(gap_minutes * 60_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t bigint, seq bigint, id string")
+
+    def _runs(self, rows: list[tuple[int, int, str]]) -> list[list[tuple[int, int, str]]]:
+        runs: list[list[tuple[int, int, str]]] = []
+        for r in sorted(rows):
+            if runs and r[0] - runs[-1][-1][0] <= self.gap:
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+        return runs
+
+    def _wait(self, runs: list[list[tuple[int, int, str]]]) -> None:
+        """One timer, at the first millisecond after which the first run is closed."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if runs:
+            self.handle.registerTimer((runs[0][-1][0] + self.gap) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            times = b["t_utc"].dt.as_unit("us").astype("int64")
+            self.held.appendList(list(zip(times.tolist(), b["ingest_seq"].tolist(), b["id"].tolist(), strict=True)))
+        self._wait(self._runs([tuple(r) for r in self.held.get()]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        runs = self._runs([tuple(r) for r in self.held.get()])
+        done = [r for r in runs if r[-1][0] + self.gap < mark]
+        open_ = runs[len(done) :]
+        if open_:
+            self.held.put([r for run in open_ for r in run])
+        else:
+            self.held.clear()
+        self._wait(open_)
+        if done:
+            time = lambda x: pd.Timestamp(x, unit="us", tz="UTC")
+
+            def closed(run):
+                start = time(run[0][0])
+                told = start.strftime("%Y-%m-%dT%H:%M:%S") + (f".{start.microsecond:06d}" if start.microsecond else "") + "+00:00"
+                return key[0], hashlib.sha256(f"{key[0]}\0{run[0][2]}\0{told}".encode()).hexdigest()[:16], start, time(run[-1][0]), len(run), run[0][2]
+
+            yield pd.DataFrame([closed(r) for r in done], columns=["thread_id", "episode_id", "start_utc", "end_utc", "n_events", "first_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def closed_episodes(events: DataFrame, gap_minutes: float = 30, late_minutes: int = 60) -> DataFrame:
+    """Each episode once, when it is closed, with the id that the batch operators give it; numbers are left to readers.
+
+    Needs the state store ``STORE``.  Rows later than the watermark are dropped.
+    """
+    held = events.where("thread_id IS NOT NULL").withWatermark("t_utc", f"{late_minutes} minutes").select("thread_id", "t_utc", "ingest_seq", "id")
+    return held.groupBy("thread_id").transformWithStateInPandas(Episodes(gap_minutes), CLOSED, "append", "EventTime")

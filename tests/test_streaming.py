@@ -2,6 +2,8 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from chronicle.operators import episodes, upsert
 from chronicle.schema import EVENT
 from chronicle.streaming import sessions
@@ -33,3 +35,28 @@ def test_streams(spark, tmp_path):
     got = {r.first_id: r.n_events for r in spark.table("s2").collect()}
     # The watermark has passed all but the last episode, which stays open.
     assert got == {i: n for i, n in want.items() if i != "f"}
+
+
+def test_closed_episodes_leave_no_state(spark, tmp_path):
+    """However the rows are cut into micro-batches: every closed episode once, as the batch operators give it, and only open events in the state."""
+    spark.conf.set(*sessions.STORE)
+    rows = [("a", 0), ("c", 70), ("b", 30), ("u1", 75), ("d", 80), ("f", 500), ("e", 505), ("u2", 700), ("g", 3000)]
+    thread = lambda i: "u" if i.startswith("u") else "t"
+    made = lambda part: batch(spark, part).withColumn("thread_id", F.when(F.col("id").startswith("u"), "u").otherwise("t"))
+    want = {(r.thread_id, r.episode_id, r.start_utc, r.end_utc, r.n_events, r.first_id) for r in episodes.gathered(episodes.numbered(made(rows))).collect()}
+    for case, cuts in enumerate(([3, 6], [1, 2, 5, 7])):
+        src = str(tmp_path / f"in{case}")
+        for a, z in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            made(rows[a:z]).coalesce(1).write.mode("append").json(src)
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(src)
+        out = sessions.closed_episodes(stream, late_minutes=90)
+        q = out.writeStream.format("memory").queryName(f"closed{case}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{case}")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        got = spark.table(f"closed{case}").collect()
+        assert len(got) == len({r.first_id for r in got})
+        # The watermark has passed all but the last event, which alone is kept.
+        assert {tuple(r) for r in got} == {w for w in want if w[5] != "g"}
+        held = spark.read.format("statestore").option("stateVarName", "held").option("flattenCollectionTypes", "true").load(str(tmp_path / f"c{case}")).collect()
+        assert [thread(r.list_element.id) + r.list_element.id for r in held] == ["tg"]
+        timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(str(tmp_path / f"c{case}")).collect()
+        assert len(timers) == 1
