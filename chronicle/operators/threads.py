@@ -30,13 +30,14 @@ def reply_roots(messages: DataFrame, key: str = "id", parent: str = "parent") ->
         told = materialize(open_.join(ends, "to", "left"), "replies")
         done.append(told.where("_end").select("id", F.col("to").alias("root"), F.col("steps").alias("depth")))
         left = told.where("_end IS NULL").select("id", "to", "steps")
-        # A target that is not first has a target of its own, among the open messages or among those that just got done.
+        # A target that is not first has a target of its own, among the messages of this round or among those done before.
         target = told.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        for d in done[1:-1]:
+            target = target.unionByName(d.select(F.col("id").alias("to"), F.col("root").alias("next"), F.col("depth").alias("more")))
         weight = left.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
         side = materialize(target.join(weight, "to"), "targets")
-        before, rest = rest, left.count()
+        rest = left.count()
         open_ = materialize(join_split(left, side, "to", "n", rest).select("id", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "replies")
-        # Targets that got done in this round are no first messages: what points at them now points at theirs.
         rounds += 1
     out = done[0]
     for d in done[1:]:

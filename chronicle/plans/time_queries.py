@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronicle.functions.time import iso_utc
-from chronicle.operators import episodes, rollup, temporal, upsert
+from chronicle.operators import episodes, extra, ledger, retrieval, rollup, temporal, threads, upsert, vector_index
 from chronicle.plans import views
 from chronicle.plans.catalogue import iso, query
 from chronicle.plans.event_queries import _EVENTS, _numbered
 from chronicle.sources import plays
 from chronicle.streaming import episodes as late
-from chronicle.tables import shared_dir
+from chronicle.tables import materialize, shared_dir
 
 _ASOF = "FROM (SELECT * FROM events WHERE event_type = '{new}') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = '{past}') b ON {by}a.ts >= b.ts"
 
@@ -117,3 +117,73 @@ def a14_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a14_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads and content sizes of each source, role and day and of all sums, estimated from sketches; the tests hold them against exact ones."""
     return rollup.estimates(rollup.cube(rollup.daily(_both(spark, sf_dir)))).select("source", "kind", F.col("day").cast("string").alias("day"), "n", "threads", "median_size", "p95_size")
+
+
+def _running_sql(start: str) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT user_id AS subject, event_id AS id, (value - 50) / {start} AS delta, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT subject, id, k, greatest(0.0, least(1.0, 0.0 + delta)) AS c FROM d WHERE k = 1 UNION ALL SELECT d.subject, d.id, d.k, greatest(0.0, least(1.0, r.c + d.delta)) FROM r JOIN d ON d.subject = r.subject AND d.k = r.k + 1)
+SELECT subject, id, round(c, 6) AS confidence FROM r"""
+
+
+@query("y4_running", _running_sql("100"))
+def y4_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's confidence after every one of its changes, kept between 0 and 1 each time."""
+    d = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("ts").alias("t"), F.col("event_id").alias("id"), ((F.col("value") - 50) / 100).alias("delta"))
+    return ledger.running(d).select("subject", "id", F.round("confidence", 6).alias("confidence"))
+
+
+_REPLIES = """WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, CASE WHEN turn % 4 > 0 OR turn % 8 = 4 THEN conv_id * 1000 + turn - (CASE WHEN turn % 3 = 0 THEN 2 ELSE 1 END) END AS parent FROM conversations),
+p AS (SELECT a.id, CASE WHEN b.id IS NOT NULL THEN a.parent END AS parent FROM c a LEFT JOIN c b ON a.parent = b.id),
+r AS (SELECT id, id AS root, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.id, r.root, r.depth + 1 FROM r JOIN p ON p.parent = r.id)
+SELECT id, root, CAST(depth AS BIGINT) AS depth FROM r"""
+
+
+@query("t9_reply_roots", _REPLIES)
+def t9_reply_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of each turn's thread of replies and its depth; a turn answers the one or two before it, some answer none."""
+    c, key = views.table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn")
+    answers = (F.col("turn") % 4 > 0) | (F.col("turn") % 8 == 4)
+    back = F.when(F.col("turn") % 3 == 0, 2).otherwise(1)
+    return threads.reply_roots(c.select(key.alias("id"), F.when(answers, key - back).alias("parent")))
+
+
+def _with_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their extra data as a variant, stored as such and read again."""
+    return materialize(extra.with_extra(views.events(spark, sf_dir)), "variants")
+
+
+@query("m9_extra", "SELECT CAST(event_id AS VARCHAR) AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def m9_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_extra(spark, sf_dir).select("id", extra.value("$.k", "bigint").alias("k"))
+
+
+@query("m9_by_field", "SELECT event_type AS content, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 GROUP BY event_type")
+def m9_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over a field that was shredded into a column."""
+    rows = materialize(extra.shredded(_with_extra(spark, sf_dir), {"k": ("$.k", "bigint")}), "shredded")
+    return rows.where("k >= 50").groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
+@query("m9_fields", "SELECT 'k' AS field, 'BIGINT' AS kind, count(*) AS n FROM events")
+def m9_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extra.fields(_with_extra(spark, sf_dir))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("r3_vector_index")
+def r3_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As r3_vector_topk through the index; r3_index_recall says how much of it is found."""
+    items, asked = _vectors(spark, sf_dir)
+    return vector_index.search(vector_index.build(items, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id"), asked, 10)
+
+
+@query("r3_index_recall", "SELECT count(DISTINCT vec_id) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def r3_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least nine in ten of the exact ten best are found by the index, over all queries."""
+    items, asked = _vectors(spark, sf_dir)
+    told = vector_index.recall(r3_vector_index(spark, sf_dir), retrieval.vector(items, asked, 10, key="vec_id"), "vec_id")
+    return told.select("queries", (F.col("recall") >= 0.9).alias("enough"))
