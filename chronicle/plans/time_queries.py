@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronicle.functions.time import iso_utc
-from chronicle.operators import episodes, extra, ledger, retrieval, rollup, temporal, threads, upsert, vector_index
+from chronicle.operators import episodes, extra, ledger, lexical_index, retrieval, rollup, temporal, threads, upsert, vector_index
 from chronicle.plans import views
 from chronicle.plans.catalogue import iso, query
 from chronicle.plans.event_queries import _EVENTS, _numbered
+from chronicle.plans.memory_queries import _BM25
 from chronicle.sources import plays
 from chronicle.streaming import episodes as late
 from chronicle.tables import materialize, shared_dir
@@ -187,3 +188,11 @@ def r3_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, asked = _vectors(spark, sf_dir)
     told = vector_index.recall(r3_vector_index(spark, sf_dir), retrieval.vector(items, asked, 10, key="vec_id"), "vec_id")
     return told.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("r3_lexical_index", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10")
+def r3_lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As r3_lexical_topk, by the stored index."""
+    docs, items = views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark")
+    index = lexical_index.build(docs.select("doc_id", "text"), f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", "doc_id")
+    return lexical_index.search(index, items.select(F.col("item_id").alias("query_id"), "text"), 10)[0]
