@@ -1,7 +1,8 @@
 """Commands over one user's data: ``python -m chronicle.cli ROOT COMMAND``.
 
-``ingest`` reads tables of messages (Parquet folders ``message``, ``chat`` and ``chat_message_join``
-in one folder), ``episodes`` prints how the events fall into episodes, ``load`` makes documents of
+``ingest`` reads one folder of a source: tables of messages (Parquet folders ``message``, ``chat`` and
+``chat_message_join``) or photos (``asset``, ``attributes``, ``face`` and ``person``), an export of plays,
+chats or watched videos, or event records as JSON lines; ``episodes`` prints how the events fall into episodes, ``load`` makes documents of
 them in a bank, ``show`` prints the bank's report, and ``all`` does these one after another.
 """
 
@@ -13,8 +14,10 @@ import datetime
 from chronicle.operators import episodes
 from chronicle.plans.engine import DEFAULT_EPISODES, Engine
 from chronicle.session import session
+from chronicle.sources import jsonl, plays
 
 BANK = "default"
+SOURCES = ("messages", "plays", "chats", "photos", "watched", "records")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,7 +27,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("ingest", "episodes", "load", "show", "all"):
         own = commands.add_parser(name)
         if name in ("ingest", "all"):
-            own.add_argument("--tables", required=True, help="folder of the message tables")
+            own.add_argument("--tables", required=True, help="folder of the source")
+            own.add_argument("--source", choices=SOURCES, default=SOURCES[0])
+            own.add_argument("--min-ms", type=int, default=plays.MIN_MS, help="shortest play in milliseconds")
             own.add_argument("--top-n", type=int, default=5, help="threads with the most messages")
             own.add_argument("--since", type=datetime.date.fromisoformat, help="first day, YYYY-MM-DD")
         if name in ("episodes", "load", "all"):
@@ -36,13 +41,27 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _ingest(engine: Engine, args: argparse.Namespace) -> int:
+    tables = lambda *names: [engine.spark.read.parquet(f"{args.tables}/{t}") for t in names]
+    if args.source == "messages":
+        return engine.ingest_messages(*tables("message", "chat", "chat_message_join"), args.top_n, args.since)
+    if args.source == "photos":
+        return engine.ingest_photos(*tables("asset", "attributes", "face", "person"))
+    if args.source == "plays":
+        return engine.ingest_plays(args.tables, args.min_ms)
+    if args.source == "chats":
+        return engine.ingest_chats(args.tables)
+    if args.source == "watched":
+        return engine.ingest_watch_history(args.tables)
+    return engine.events.add(jsonl.read_events(engine.spark, args.tables))
+
+
 def run(engine: Engine, args: argparse.Namespace) -> list[str]:
     """The lines that a command prints."""
     out: list[str] = []
     step = lambda *names: args.command in (*names, "all")
     if step("ingest"):
-        tables = [engine.spark.read.parquet(f"{args.tables}/{t}") for t in ("message", "chat", "chat_message_join")]
-        out.append(f"events: {engine.ingest_messages(*tables, args.top_n, args.since)}")
+        out.append(f"events: {_ingest(engine, args)}")
     if step("episodes"):
         out += episodes.summary_lines(engine.episodes(args.gap_minutes))
     if step("load"):

@@ -36,6 +36,14 @@ def observed(seen: Observation, name: str) -> int:
         return 0
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the tables under ``path``."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(of(path)) if fs.exists(of(path)) else []
+    return sorted(s.getPath().getName() for s in found if fs.exists(of(f"{path}/{s.getPath().getName()}/_log")))
+
+
 class LevelledTable:
     """Rows of a fixed schema by key, in runs that a log names from old to new; the newest run that has a key has its row.
 
@@ -94,6 +102,13 @@ class LevelledTable:
             self._fs.delete(draft, False)
             raise RuntimeError(f"another writer made entry {number} of {self.path}") from e
 
+    def exists(self) -> bool:
+        return bool(self._log())
+
+    def create(self) -> None:
+        """Make the empty table."""
+        self._commit(1, [])
+
     # Runs
 
     def bucket(self, buckets: int) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote, unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronicle.functions.text import TRANSCRIPT_CHARS, contact_label, event_line, shorten
 from chronicle.functions.time import iso_utc
+from chronicle.operators.levels import LevelledTable, folders
 
 
 def with_transcript(episodes: DataFrame, limit: int = TRANSCRIPT_CHARS) -> DataFrame:
@@ -39,6 +42,32 @@ def documents(episodes: DataFrame, limit: int | None = None, tag: str | None = N
     )
 
 
-def retain(docs: DataFrame, bank_path: str, bank: str) -> None:
-    """Append documents to a bank; a bank is a partition of the table at ``bank_path``."""
-    docs.withColumn("bank", F.lit(bank)).write.mode("append").partitionBy("bank").parquet(bank_path)
+DOCUMENT = "id string, content string, timestamp timestamp, entities array<struct<text: string>>, tags array<string>, metadata map<string, string>"
+
+
+def bank_table(spark: SparkSession, bank_path: str, bank: str) -> LevelledTable:
+    """The documents of one bank, by episode; a bank is a folder under ``bank_path``, named so that any name is one."""
+    return LevelledTable(spark, f"{bank_path.rstrip('/')}/{quote(bank, safe='')}", DOCUMENT, "id", sort=("timestamp",))
+
+
+def create_bank(spark: SparkSession, bank_path: str, bank: str) -> bool:
+    """Make an empty bank; False if it is there already, which changes nothing."""
+    table = bank_table(spark, bank_path, bank)
+    if table.exists():
+        return False
+    table.create()
+    return True
+
+
+def banks(spark: SparkSession, bank_path: str) -> list[str]:
+    """The names of all banks, also of those without documents."""
+    return [unquote(name) for name in folders(spark, bank_path)]
+
+
+def retain(docs: DataFrame, bank_path: str, bank: str) -> int:
+    """Put documents into a bank, which is made if need be; how many were given.
+
+    A document takes the place of that of the same episode, so an episode that has grown since
+    the last load has one document, the newer one.
+    """
+    return bank_table(docs.sparkSession, bank_path, bank).add(docs.withColumn("id", F.col("metadata")["episode_id"]))

@@ -28,6 +28,6 @@ def iso(x: str) -> str:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries; importing the modules registers them."""
-    from chronicle.plans import event_queries, graph_queries, memory_queries, source_queries, time_queries  # noqa: F401
+    from chronicle.plans import event_queries, graph_queries, memory_queries, source_queries, store_queries, time_queries  # noqa: F401
 
     return QUERIES, SQL

@@ -66,14 +66,19 @@ class Engine:
         return episodes.build(rows if source is None else rows.where(F.col("source") == source), gap_minutes)
 
     def load(self, bank: str, limit: int | None = DEFAULT_EPISODES, gap_minutes: float = GAP_MINUTES) -> int:
-        docs = transcripts.documents(self.episodes(gap_minutes), limit)
-        transcripts.retain(docs, f"{self.root}/banks", bank)
-        return self.bank(bank).count()
+        """Put the episodes' documents into a bank; how many were put."""
+        return transcripts.retain(transcripts.documents(self.episodes(gap_minutes), limit), f"{self.root}/banks", bank)
+
+    def create_bank(self, bank: str) -> bool:
+        return transcripts.create_bank(self.spark, f"{self.root}/banks", bank)
+
+    def banks(self) -> list[str]:
+        return transcripts.banks(self.spark, f"{self.root}/banks")
 
     def bank(self, bank: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.root}/banks").where(F.col("bank") == bank)
+        rows = transcripts.bank_table(self.spark, f"{self.root}/banks", bank).read()
         names = F.transform("entities", lambda e: e["text"]).alias("entities")
-        return rows.select(F.col("metadata")["episode_id"].alias("id"), F.col("content").alias("text"), "timestamp", "tags", names).dropDuplicates(["id"])
+        return rows.select("id", F.col("content").alias("text"), "timestamp", "tags", names)
 
     def show(self, bank: str, query: str, k: int = 25) -> list[str]:
         """A short report: what was recalled, and a reflection on it."""

@@ -51,12 +51,45 @@ def _event(field) -> dict[str, Column]:
     }
 
 
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with ``ingest_seq``: files by name, in a file line by line, so that the last line of an id is the last row."""
+    placed = rows.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+    parts = sorted(placed.select("_file", "_start").distinct().collect())  # a row for each split of a file
+    number = rows.sparkSession.createDataFrame([(f, s, k) for k, (f, s) in enumerate(parts)], "_file string, _start bigint, _part bigint")
+    # A task reads its splits from the first line to the last, so its own count orders the lines of one.
+    seq = F.col("_part") * (1 << 33) + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(number), ["_file", "_start"]).withColumn("ingest_seq", seq.cast("bigint"))  # a row for each split
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical events from their records; the order of equal times is that of ids."""
+    """Canonical events from their records; equal times, and rows of one id, have the order of the lines."""
     own = _event(F.col)
-    rows = spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
-    out = rows.select(*[c.alias(name) for name, c in own.items()])
-    return out.withColumns({"content_sha": content_sha(F.col("content"), F.col("additional_data")), "ingest_seq": F.lit(0).cast("bigint")}).select(*COLUMNS)
+    rows = _in_file_order(spark.read.schema(RECORD).option("mode", "FAILFAST").json(path))
+    out = rows.select(*[c.alias(name) for name, c in own.items()], "ingest_seq")
+    return out.withColumn("content_sha", content_sha(F.col("content"), F.col("additional_data"))).select(*COLUMNS)
+
+
+MEDIA_RECORD = "id string, capsule_id string, kind string, file_path string, mime string, byte_size bigint, exif_t string, exif_lat double, exif_lng double"
+CAPSULE_RECORD = f"id string, created_at string, place_name string, lat double, lng double, media array<struct<{MEDIA_RECORD.replace(' string', ': string').replace(' bigint', ': bigint').replace(' double', ': double')}>>"
+
+
+def media_record(field, capsule: Column) -> Column:
+    """A media item as a record.  ``field`` gives the column of a name."""
+    time = F.when(field("exif_t").isNotNull(), iso_utc(field("exif_t"))).alias("exif_t")
+    return F.struct(field("id").alias("id"), capsule.alias("capsule_id"), *[field(c).alias(c) for c in ("kind", "file_path", "mime", "byte_size")], time, *[field(c).alias(c) for c in ("exif_lat", "exif_lng")])
+
+
+def capsule_records(nested: DataFrame) -> DataFrame:
+    """(value): each capsule with its media (as ``capsules.with_media`` gives them) as one line of JSON."""
+    own = F.transform("media", lambda m: media_record(lambda c: m[c], F.col("id")))
+    return nested.select(F.to_json(F.struct("id", iso_utc(F.col("created_at")).alias("created_at"), "place_name", "lat", "lng", own.alias("media")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_capsules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(capsules, media) from records of capsules; a record without media has none."""
+    rows = spark.read.schema(CAPSULE_RECORD).option("mode", "FAILFAST").json(path)
+    media = rows.select(F.explode("media").alias("m")).select("m.*").withColumn("exif_t", F.when(F.col("exif_t") != "", parse_iso(F.col("exif_t"))))
+    return rows.select("id", parse_iso(F.col("created_at")).alias("created_at"), "place_name", "lat", "lng"), media
 
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
