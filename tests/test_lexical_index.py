@@ -17,7 +17,7 @@ def test_same_rows_and_fewer_postings(spark, tmp_path, monkeypatch):
     topics = [[f"t{t}w{k}" for k in range(12)] for t in range(30)]
     text = lambda i: " ".join(["common"] * rnd.randrange(3) + rnd.choices(topics[i // 20], k=rnd.randrange(1, 25)))
     rows = [(i, text(i)) for i in range(600)] + [(700, None), (701, ""), (702, "Common COMMON it's")]
-    memories = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    memories = spark.createDataFrame(rows, "id long, text string").repartitionByRange(3, "id").sortWithinPartitions("id")
     asked = [(q, " ".join(rnd.choices(topics[q], k=4)) + (" common" if q % 3 == 0 else "")) for q in range(30)] + [(100, "common"), (101, "nowhere"), (102, ""), (103, None), (104, "it's")]
     queries = spark.createDataFrame(asked, "query_id long, text string")
     index = lexical_index.build(memories, str(tmp_path / "i"))
