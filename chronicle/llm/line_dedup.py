@@ -13,7 +13,8 @@ names of the three new ones: they give way.
 
 A line that very many documents hold is no hot key: fewer than ``HOT_PART`` lines can
 have more than that part of all repeated lines, and these few meet their documents
-where the documents lie.
+where the documents lie.  A text learns the positions of the lines that it loses and is put
+together from the others, in time linear in its lines.
 """
 
 from __future__ import annotations
@@ -44,28 +45,31 @@ def _hash(key: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc_id, text_hash, dropped): hashes of the lines that a text of a doc_id loses."""
+    """(doc_id, text_hash, dropped): positions of the lines that a text of a doc_id loses."""
     keys = F.transform(_lines(F.col("text")), line_key)
-    keys = F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_length))
-    held = (
-        docs.where(F.length("text") >= min_length)
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(keys).alias("key"))
-        .select("doc_id", "text_hash", _hash(F.col("key")).alias("h"))
-        .select("doc_id", "text_hash", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    )
+    long = docs.where(F.length("text") >= min_length)
+    once = F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_length))
+    held = long.select("doc_id", F.explode(once).alias("key")).select("doc_id", _hash(F.col("key")).alias("h")).select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     counts = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents)
     common = materialize(counts, "common-lines")
     hot = F.col("n") * HOT_PART > F.lit(common.agg(F.sum("n")).first()[0] or 0)
     few = common.where(hot).select(F.col("a").alias("hot_a"), F.col("b").alias("hot_b"), F.col("last").alias("hot_last"))
     rest = common.where(~hot).select(F.col("a").alias("other_a"), F.col("b").alias("other_b"), F.col("last").alias("other_last"))
-    marked = held.join(F.broadcast(few), (F.col("a") == F.col("hot_a")) & (F.col("b") == F.col("hot_b")), "left")  # fewer than HOT_PART rows
+    placed = (
+        long.select("doc_id", F.xxhash64("text").alias("text_hash"), keys.alias("keys"))  # a text's hash is made before its lines are rows
+        .select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "key"))
+        .where(F.char_length("key") >= min_length)
+        .select("doc_id", "text_hash", "pos", _hash(F.col("key")).alias("h"))
+        .select("doc_id", "text_hash", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    )
+    marked = placed.join(F.broadcast(few), (F.col("a") == F.col("hot_a")) & (F.col("b") == F.col("hot_b")), "left")  # fewer than HOT_PART rows
     # A hot line has its answer; it goes on under its document's hash and meets no other line.
     known = F.col("hot_a").isNotNull()
-    marked = marked.select("doc_id", "text_hash", "a", "b", "hot_last", F.when(known, F.xxhash64("doc_id", "text_hash")).otherwise(F.col("a")).alias("by"), known.alias("known"))
+    marked = marked.select("doc_id", "text_hash", "pos", "b", "hot_last", F.when(known, F.xxhash64("doc_id", "text_hash")).otherwise(F.col("a")).alias("by"), known.alias("known"))
     told = marked.join(rest, (F.col("by") == F.col("other_a")) & (F.col("b") == F.col("other_b")) & ~F.col("known"), "left")
     last = F.coalesce("hot_last", "other_last")
     lost = told.where(last.isNotNull() & ~F.col("doc_id").eqNullSafe(last))
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("dropped"))
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
 
 def with_line_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
@@ -75,12 +79,9 @@ def with_line_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents
     drops = repeated_lines(docs, min_length, min_documents).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("dropped").alias(dropped))
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left")
     lines = _lines(F.col("text"))
-    stay = F.filter(
-        lines,
-        lambda x: (F.char_length(x) < min_length)
-        | (F.char_length(line_key(x)) < min_length)
-        | ~F.array_contains(F.col(dropped), _hash(line_key(x))),
-    )
+    # The array of lines is bound once, and each kept position takes its line from it.
+    kept_of = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(dropped))
+    stay = F.element_at(F.transform(F.array(lines), lambda own: F.transform(kept_of(own), lambda k: F.get(own, k))), 1)
     touched = F.col(dropped).isNotNull()
     total = F.size(lines).cast("long")
     out = joined.withColumn(kept, F.when(touched, stay))
