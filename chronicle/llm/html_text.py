@@ -12,7 +12,9 @@ between executors.
 
 A null page counts as empty, and a page without kept blocks gives the empty text.
 Elements that are open where browsers close them (``p``, ``li``, ``td`` ...) are closed,
-cut references are read as browsers read them, and what is ``hidden`` is no text.  An
+cut references are read as browsers read them, and what is ``hidden`` is no text (what is
+hidden from screen readers alone is).  Parsing looks at the innermost elements only, so it is linear in a page's
+nesting.  An
 inline element whose class says that it is an advert is a block of its own, and the
 text around it one block.  Repeated pages give equal rows; a very long page is one row
 and costs memory of some times its size.  Columns besides page_id, url and html are not
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +94,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html"
     " li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_RAW = frozenset("script style noscript template iframe textarea title svg math object select option button canvas audio video noembed noframes xmp".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object select option button canvas audio video noembed noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, and the elements that it never looks beyond.
 _CLOSES = {
@@ -109,7 +112,7 @@ _SAYS_FURNITURE = re.compile(
 _SAYS_ARTICLE = re.compile(r"(?:article|post|entry|story|content|main)(?:-?(?:body|content|text))?", re.IGNORECASE)
 _ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
-_MARKS = re.compile(r"""(?:^|(?<=[\s"']))(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_MARKS = re.compile(r"""(?:^|(?<=[\s"']))(class|id|role|hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _GAP = re.compile(r"\s+")
 
@@ -120,7 +123,7 @@ def _hints(tag: str, attributes: str) -> tuple[int, int, bool]:
     if attributes and tag not in ("html", "body"):
         for name, value in _MARKS.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
+            if name == "hidden" or (name == "style" and _UNSEEN.search(value)):
                 return by_tag, -1, True
             if name == "role":
                 by_name = _ROLES.get(value, 0) or by_name
@@ -133,12 +136,12 @@ def _hints(tag: str, attributes: str) -> tuple[int, int, bool]:
 
 
 class _Open:
-    """An open element: what it and those around it say, and its number if it is a block element."""
+    """An open element: what it and those around it say, its number if it is a block element, and whether any of them is apart."""
 
-    __slots__ = ("tag", "says", "number", "own", "hidden")
+    __slots__ = ("tag", "says", "number", "own", "within", "hidden")
 
-    def __init__(self, tag: str, says: tuple[int, int], number: int, own: bool, hidden: bool):
-        self.tag, self.says, self.number, self.own, self.hidden = tag, says, number, own, hidden
+    def __init__(self, tag: str, says: tuple[int, int], number: int, own: bool, within: bool, hidden: bool):
+        self.tag, self.says, self.number, self.own, self.within, self.hidden = tag, says, number, own, within, hidden
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
@@ -146,6 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
     found: list[tuple[str, int, int, int, int, int]] = []  # text, words, linked, element, tag hint, name hint
     parent, inner = [0], [False]  # of each block element: the one around it, and whether others are in it
     stack: list[_Open] = []
+    many_open: Counter[str] = Counter()  # of each tag in the stack
     # Text that is being gathered: that of the block, and apart from it that of an inline element with a say.
     text: list[str] = []
     aside: list[str] = []
@@ -173,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
             return
         piece = html_lib.unescape(piece)
         many = len(piece.split()) if anchors else 0
-        if any(x.own for x in reversed(stack)):
+        if stack and stack[-1].within:
             aside.append(piece)
             aside_linked += many
         else:
@@ -183,11 +187,30 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
     def close(k: int) -> None:
         nonlocal aside_linked
         own = next((x for x in stack[k:] if x.own), None)
-        if own is not None and not any(x.own for x in stack[:k]):
+        if own is not None and not (k and stack[k - 1].within):
             put(aside, aside_linked, own)
             aside_linked = 0
+        many_open.subtract(x.tag for x in stack[k:])
         del stack[k:]
 
+    def close_before(tag: str) -> None:
+        """Close what the start of a block element closes: paragraphs, and its own kind up to the element that holds it."""
+        closes, limit = _CLOSES.get(tag, (frozenset(), frozenset()))
+        top = True  # no block element lies above
+        for k in range(len(stack) - 1, -1, -1):
+            name = stack[k].tag
+            if name in limit or not (top or any(many_open[c] for c in closes)):
+                break
+            if name in closes:
+                close(k)
+                if tag not in ("tr", "tbody", "tfoot"):
+                    break
+                top = True
+            elif name == "p" and top:
+                close(k)
+            elif name in _BLOCK:
+                top = False
+
     def push(tag: str, says: tuple[int, int, bool], is_block: bool) -> None:
         around = stack[-1] if stack else None
         outer, number = (around.says, around.number) if around else ((0, 0), 0)
@@ -200,7 +223,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
             inner.append(False)
             number = len(parent) - 1
         own = (around.own if around and not is_block else False) or (not is_block and says[1] < 0 and not says[2])
-        stack.append(_Open(tag, whole, number, own, says[2] or (around.hidden if around else False)))
+        stack.append(_Open(tag, whole, number, own, own or (around is not None and around.within), says[2] or (around.hidden if around else False)))
+        many_open[tag] += 1
 
     while m := _TOKEN.search(page, pos):
         if m.start() > pos:
@@ -215,7 +239,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
                 end_block()
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if many_open[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -230,16 +254,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
             continue
         if tag in _BLOCK:
             end_block()
-            closes, limit = _CLOSES.get(tag, (set(), set()))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in limit:
-                    break
-                if stack[k].tag in closes:
-                    close(k)
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif stack[k].tag == "p" and not any(x.tag in _BLOCK for x in stack[k + 1 :]):
-                    close(k)
+            close_before(tag)
             if tag not in _VOID:
                 push(tag, _hints(tag, m[3]), True)
         elif tag == "br":
@@ -248,7 +263,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
             if tag == "a":
                 anchors += 1
             hints = _hints(tag, m[3]) if m[3] else (0, 0, False)
-            if hints[1] < 0 or (stack and not m[0].endswith("/>") and any(x.own or x.hidden for x in stack)):
+            if hints[1] < 0 or (stack and not m[0].endswith("/>") and (stack[-1].within or stack[-1].hidden)):
                 push(tag, hints, False)
     if pos < len(page):
         add(page[pos:])
