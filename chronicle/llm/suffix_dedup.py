@@ -16,8 +16,9 @@ the beginning of a retained suffix, its anchor, and equal windows hold it at the
 4. No smaller doc_id agrees with a suffix further to the right than those two do, but one
    that agrees less to the right may agree more to the left.  The windows which that leaves
    open are looked up among those of all suffixes of the same gram, where they lie.
-5. A gram whose suffixes lie at an edge of a task may have more of them in other tasks.  What
-   is open there moves as digests of 128 bits of its windows, which are grouped over the cluster.
+5. A gram whose suffixes lie at an edge of a task may have more of them in other tasks.  Windows that
+   are open there are looked up in the task; those that no smaller doc_id of the task has move as
+   digests of 128 bits, a row for each task that holds them, and are grouped over the cluster.
 6. The matches of all anchors of a document are laid together, which extends them over
    passages of any length.
 
@@ -200,6 +201,26 @@ class Run:
                         self.matches.append((doc_id, start, start + self.window, least[key]))
             d += 1
 
+    def edge(self) -> list[tuple[int, int, bytes]]:
+        """(doc_id, first word, digest) of the open windows that no smaller doc_id here has; the others become matches.
+
+        Of all that have a window here the least doc_id is among the open ones, as a match would have led to a smaller one.
+        """
+        held = list(self.windows())
+        least: dict[bytes, int] = {}
+        for doc_id, _, digest in held:
+            least[digest] = min(least.get(digest, doc_id), doc_id)
+        end = None
+        for doc_id, start, digest in held:  # windows of one suffix follow each other from right to left
+            source = least[digest]
+            if source < doc_id:
+                if end is not None and end == (doc_id, start + 1) and self.matches[-1][3] == source:
+                    self.matches[-1] = (doc_id, start, self.matches[-1][2], source)
+                else:
+                    self.matches.append((doc_id, start, start + self.window, source))
+                end = doc_id, start
+        return [w for w in held if least[w[2]] == w[0]]
+
     def _words(self, i: int, d: int) -> tuple[str, str]:
         """The words of a window from its anchor on, and those before it."""
         right, left = self.rows[i][:2]
@@ -228,7 +249,8 @@ def matches(sorted_: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
             own.neighbours()
             if inner:
                 own.third()
-            yield from _found(own.matches, [] if inner else own.windows(), window)
+            left = [] if inner else own.edge()
+            yield from _found(own.matches, left, window)
 
     return small_batches(sorted_).mapInArrow(_joined(run), _MATCH)
 

@@ -72,6 +72,33 @@ def test_inner_runs_look_up_third_documents():
     assert (5, 9, 13, 3) in set(run.matches) and (5, 10, 14, 1) in near
 
 
+def test_edges_send_on_only_the_first_holder_of_a_window():
+    """Document 5 finds its window with 3 in the task; the windows of 3, and those that none shares, go on."""
+    rows = sorted([("g a b c", "x y", 5, 10, 0b111), ("g a b c", "z z", 1, 0, 0b111), ("g z", "x y", 2, 0, 0b111), ("g a b d", "x q", 3, 0, 0b111)])
+    run = suffix_dedup.Run(rows, 4)
+    run.neighbours()
+    on = run.edge()
+    assert {(5, 9, 13, 3), (5, 10, 14, 1)} <= set(run.matches)
+    digests = [d for *_, d in on]
+    assert len(digests) == len(set(digests)) and (3, -1) in {(i, at) for i, at, _ in on}
+
+
+@pytest.mark.parametrize("task_bytes", [2_000, 20_000])
+def test_passages_over_many_tasks(spark, monkeypatch, task_bytes):
+    """Near copies, whose suffixes of one gram fill several tasks, each with other words changed."""
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task_bytes)
+    rng = random.Random(task_bytes)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in rng.sample(range(10**6), 80):
+        own = list(base)
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(150)] = f"v{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    want = covered(rows, 50)
+    assert want and found(spark, rows, 50, 20) == want
+
+
 def test_lines_of_long_texts(spark):
     text = "\n".join(f"this is a line of more than forty letters, number {k % 15000}" for k in range(30000))
     rows = [(i, text + f"\nown {i}") for i in range(5)]
