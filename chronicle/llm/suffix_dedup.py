@@ -18,7 +18,7 @@ the beginning of a retained suffix, its anchor, and equal windows hold it at the
    open are looked up among those of all suffixes of the same gram, where they lie.
 5. A gram whose suffixes lie at an edge of a task may have more of them in other tasks.  Windows that
    are open there are looked up in the task; those that no smaller doc_id of the task has move as
-   digests of 128 bits, a row for each task that holds them, and are grouped over the cluster.
+   digests of 128 bits, a row for each task with all places there, and are grouped over the cluster.
 6. The matches of all anchors of a document are laid together, which extends them over
    passages of any length.
 
@@ -51,7 +51,7 @@ TASK_BYTES = 32 << 20
 #: These sort before the blank between words, so suffixes of one gram may lie on both sides of one that has them.
 _CONTROL = re.compile(r"[\x00-\x1F]")
 
-_MATCH = "doc_id long, start_word int, end_word int, source_doc_id long, window binary"
+_MATCH = "doc_id long, start_word int, end_word int, source_doc_id long, window binary, starts array<int>"
 _SUFFIX = "right string, left string, doc_id long, pos int, windows long"
 
 
@@ -201,10 +201,10 @@ class Run:
                         self.matches.append((doc_id, start, start + self.window, least[key]))
             d += 1
 
-    def edge(self) -> list[tuple[int, int, bytes]]:
-        """(doc_id, first word, digest) of the open windows that no smaller doc_id here has; the others become matches.
+    def edge(self) -> list[tuple[int, list[int], bytes]]:
+        """(doc_id, first words, digest) of the open windows that no smaller doc_id here has; the others become matches.
 
-        Of all that have a window here the least doc_id is among the open ones, as a match would have led to a smaller one.
+        A document that repeats a window has one row for it, with all places.  Of all that have a window here the least doc_id is among the open ones, as a match would have led to a smaller one.
         """
         held = list(self.windows())
         least: dict[bytes, int] = {}
@@ -219,7 +219,11 @@ class Run:
                 else:
                     self.matches.append((doc_id, start, start + self.window, source))
                 end = doc_id, start
-        return [w for w in held if least[w[2]] == w[0]]
+        first: dict[bytes, list[int]] = {}
+        for doc_id, start, digest in held:
+            if least[digest] == doc_id:
+                first.setdefault(digest, []).append(start)
+        return [(least[digest], sorted(set(starts)), digest) for digest, starts in first.items()]
 
     def _words(self, i: int, d: int) -> tuple[str, str]:
         """The words of a window from its anchor on, and those before it."""
@@ -271,17 +275,17 @@ def _runs(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple[list[t
 
 
 def _found(found: list[tuple[int, int, int, int]], windows, window: int) -> Iterator[tuple]:
-    yield from ((*match, None) for match in found)
-    yield from ((doc_id, start, start + window, None, digest) for doc_id, start, digest in windows)
+    yield from ((*match, None, None) for match in found)
+    yield from ((doc_id, starts[0], starts[0] + window, None, digest, starts) for doc_id, starts, digest in windows)
 
 
 def _joined(rows_of):
     """A function on Arrow batches from one that yields rows of _MATCH."""
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batched(rows_of(batches), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "start_word", "end_word", "source_doc_id", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "start_word", "end_word", "source_doc_id", "window", "starts"])
 
     return run
 
@@ -297,15 +301,24 @@ def passages(spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tu
     return [(a, b, sorted(s)) for a, b, s in out]
 
 
+def _places(spans: list[dict]) -> list[tuple[int, int, int]]:
+    """(first word, end, source) of each match of a document, from rows of ``_spans``."""
+    out = []
+    for span in spans:
+        length = span["end_word"] - span["start_word"]
+        out += [(a, a + length, span["source_doc_id"]) for a in span["starts"] or [span["start_word"]]]
+    return out
+
+
 def _spans(held: DataFrame, parts: int, window: int, gram: int) -> DataFrame:
-    """(doc_id, start_word, end_word, source_doc_id): all matches of the suffixes."""
+    """(doc_id, start_word, end_word, source_doc_id, starts): all matches; with ``starts`` a row stands for a match at each."""
     order = ["right", "left", "doc_id", "pos"]
     found = materialize(matches(held.repartitionByRange(parts, *order).sortWithinPartitions(*order), window, gram), "matches")
     edge = found.where("window IS NOT NULL").drop("source_doc_id")
     first = edge.groupBy("window").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id < last")
     # Written out, so that windows which many tasks have can be split.
     met = edge.join(materialize(first.drop("last"), "edge-windows"), "window").where("source_doc_id < doc_id")
-    columns = ["doc_id", "start_word", "end_word", "source_doc_id"]
+    columns = ["doc_id", "start_word", "end_word", "source_doc_id", "starts"]
     return found.where("window IS NULL").select(columns).unionByName(met.select(columns))
 
 
@@ -315,11 +328,11 @@ def shared_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     size = held.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 20)).first()[0] or 0
     parts = max(1, size // TASK_BYTES, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spans = _spans(held, parts, window, gram)
-    gathered = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "source_doc_id")).alias("spans"))
+    gathered = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "source_doc_id", "starts")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[tuple(s.values()) for s in spans] for spans in batch.column("spans").to_pylist()]
+            own = [_places(spans) for spans in batch.column("spans").to_pylist()]
             rows = [(i, a, b, s) for i, spans in zip(batch.column("doc_id").to_pylist(), own, strict=True) for a, b, s in passages(spans, window)]
             i, a, b, s = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(

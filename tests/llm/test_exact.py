@@ -80,7 +80,14 @@ def test_edges_send_on_only_the_first_holder_of_a_window():
     on = run.edge()
     assert {(5, 9, 13, 3), (5, 10, 14, 1)} <= set(run.matches)
     digests = [d for *_, d in on]
-    assert len(digests) == len(set(digests)) and (3, -1) in {(i, at) for i, at, _ in on}
+    assert len(digests) == len(set(digests)) and (3, [-1]) in [(i, at) for i, at, _ in on]
+
+
+def test_edges_name_a_repeated_window_once():
+    rows = sorted([("g a b c", "x y", 5, 10, 0b1), ("g a b c", "x y", 5, 30, 0b1), ("g a b c", "x z", 5, 50, 0b1)])
+    run = suffix_dedup.Run(rows, 4)
+    run.neighbours()
+    assert [(i, at) for i, at, _ in run.edge()] == [(5, [10, 30, 50])] and run.matches == []
 
 
 @pytest.mark.parametrize("task_bytes", [2_000, 20_000])
@@ -94,7 +101,7 @@ def test_passages_over_many_tasks(spark, monkeypatch, task_bytes):
         own = list(base)
         for _ in range(rng.randrange(5)):
             own[rng.randrange(150)] = f"v{rng.randrange(9)}"
-        rows.append((i, " ".join(own)))
+        rows.append((i, " ".join(own * rng.randrange(1, 4))))
     want = covered(rows, 50)
     assert want and found(spark, rows, 50, 20) == want
 
