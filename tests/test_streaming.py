@@ -60,3 +60,36 @@ def test_closed_episodes_leave_no_state(spark, tmp_path):
         assert [thread(r.list_element.id) + r.list_element.id for r in held] == ["tg"]
         timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(str(tmp_path / f"c{case}")).collect()
         assert len(timers) == 1
+
+
+def test_threads_share_states_and_timers(spark, tmp_path):
+    """Some messages for each bucket, not for each thread: 300 threads of two buckets leave two timers at most."""
+    spark.conf.set(*sessions.STORE)
+    rows = [(f"e{k}", 40 * (k // 300) + k % 7) for k in range(900)] + [("last", 5000)]
+    made = batch(spark, rows).withColumn("thread_id", F.when(F.col("id") == "last", "end").otherwise(F.concat(F.lit("t"), F.col("ingest_seq") % 300)))
+    want = {(r.thread_id, r.episode_id, r.start_utc, r.end_utc, r.n_events, r.first_id) for r in episodes.gathered(episodes.numbered(made)).collect()}
+    src, at = str(tmp_path / "in"), str(tmp_path / "c")
+    for part in ("ingest_seq < 450", "ingest_seq >= 450 AND id <> 'last'"):
+        made.where(part).coalesce(1).write.mode("append").json(src)
+    run = lambda: sessions.closed_episodes(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(src), late_minutes=240, buckets=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination(180)
+    run()
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(at).collect()
+    assert 1 <= len(timers) <= 2
+    made.where("id = 'last'").coalesce(1).write.mode("append").json(src)
+    run()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {w for w in want if w[5] != "last"}
+
+
+def test_files_of_a_stream_have_a_tasks_size(spark, tmp_path, monkeypatch):
+    """As many files as the session shuffles into, not three."""
+    from chronicle.plans import store_queries
+
+    monkeypatch.setattr(store_queries, "_new", lambda spark, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        store_queries._by_time(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(list((tmp_path / "by-time").glob("part-*"))) > 3
