@@ -129,11 +129,11 @@ def t3s_closed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files by day."""
+    """The events as a stream of files by ranges of time, each of a task's size; all come in one batch, as files of one folder have no order."""
     path = _new(spark, "by-time")
     e = views.events(spark, sf_dir).withColumn("t_utc", F.col("t_utc").cast("timestamp"))
-    e.repartitionByRange(3, "t_utc").write.parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    e.repartitionByRange("t_utc").write.parquet(path)
+    return spark.readStream.schema(e.schema).parquet(path)
 
 
 @query("t2s_sessions", _numbered(30) + f"SELECT thread_id, {iso('a')} AS start_utc, {iso('b')} AS end_utc, n_events FROM g WHERE epoch_us(b) + 1800000001 <= (SELECT (epoch_ms(max(ts)) - 86400000) * 1000 FROM events)")
