@@ -36,3 +36,17 @@ def test_components_run_to_the_end(spark):
     got = {r.node: r.root for r in graph.components(df).collect()}
     assert got == brute([x for x in links if None not in x])
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_links_are_contracted_where_they_lie(spark, monkeypatch):
+    """Stars alternate over what crosses the ranges alone, also where few links are contracted at a time and nodes are texts."""
+    seen = []
+    real = graph._stars
+    monkeypatch.setattr(graph, "_stars", lambda links: seen.append(links.count()) or real(links))
+    links = [(k, k + d) for k in range(0, 3000) for d in (1, 2, 3) if (k + d) // 500 == k // 500]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == brute(links) and seen[0] < 100
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 7)
+    few = [(f"n{u:04d}", f"n{v:04d}") for u, v in links[:900]]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(few, "u string, v string")).collect()}
+    assert got == brute(few)
