@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronicle.functions.text import filled
+from chronicle.tables import materialize
 
 #: Events shown with a memory, and characters shown of each.
 SAMPLE_EVENTS, SHOWN_CHARS = 8, 280
+#: Pairs of items that a task makes or sums up, on average.
+PAIRS_A_TASK = 1_000_000
 
 
 def principle_counts(principles: DataFrame, links: DataFrame, memory_events: DataFrame) -> DataFrame:
@@ -138,7 +143,16 @@ def graph_json(principles: DataFrame, edges: DataFrame, memories: DataFrame, ori
 
 
 def co_occurrence(tagged: DataFrame, item: str, group: str = "memory_id") -> DataFrame:
-    """(a, b, together): pairs of items by the number of groups that hold both."""
+    """(a, b, together): pairs of items by the number of groups that hold both.
+
+    Pairs are counted before they are made, and made and summed up in tasks of PAIRS_A_TASK on
+    average: by their bytes groups would be dealt to few tasks, as pairs are far more than rows.
+    """
     own = tagged.select(group, F.col(item).alias("a")).where(filled(F.col("a").cast("string")).isNotNull()).distinct()
-    other = own.withColumnRenamed("a", "b")
-    return own.join(other, group).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+    own = materialize(own, "tagged")
+    n = F.col("n").cast("double")
+    pairs = own.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    tasks = max(1, math.ceil(pairs / PAIRS_A_TASK))
+    left, right = own.repartition(tasks, group), own.withColumnRenamed("a", "b").repartition(tasks, group)
+    met = left.join(right.hint("merge"), group).where("a < b").select("a", "b")
+    return met.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))

@@ -124,3 +124,19 @@ def test_centres_are_the_same_for_the_same_rows():
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     assert (vector_index.fitted(rows, 12) == vector_index.fitted(rows.copy(), 12)).all()
     assert len(vector_index.fitted(np.repeat(rows[:1], 50, axis=0), 12)) == 1
+
+
+def test_pairs_are_summed_up_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    from chronicle.operators import provenance
+
+    monkeypatch.setattr(provenance, "PAIRS_A_TASK", 500)
+    rows = [(g, (g * 7 + k * k) % 40) for g in range(200) for k in range(6)]
+    got = provenance.co_occurrence(spark.createDataFrame(rows, "memory_id long, item long"), "item")
+    want = {}
+    for g in range(200):
+        items = sorted({i for m, i in rows if m == g})
+        for x, a in enumerate(items):
+            for b in items[x + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.together for r in got.collect()} == want
+    assert got.select(F.spark_partition_id()).distinct().count() > 2
