@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-GONE, BUCKET = "_gone", "_bucket"
+GONE, BUCKET, PART = "_gone", "_bucket", "_part"
 
 
 def first_to_merge(rows: list[int]) -> int | None:
@@ -120,25 +121,32 @@ class LevelledTable:
     def _run(self, run: dict) -> DataFrame:
         return self.spark.read.schema(f"{self.schema}, {GONE} boolean, {BUCKET} int").parquet(f"{self.path}/{run['folder']}")
 
-    def _write(self, rows: DataFrame, expected: int | None = None) -> dict:
-        """``rows``, which have each key once, as a run that no log entry names yet."""
+    def _write(self, rows: DataFrame, expected: int | None = None, pick: Callable[[DataFrame, tuple[str, ...]], DataFrame] | None = None) -> dict:
+        """``rows`` as a run that no log entry names yet; with ``pick``, which leaves each key once, after they were dealt, so that they move once."""
         name, seen = f"run-{uuid.uuid4().hex}", Observation()
         buckets = self.NEW_BUCKETS if expected is None else self._buckets(expected)
         # A bucket of a large run goes to several tasks.
-        dealt = rows.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn(BUCKET, self.bucket(buckets)).repartition(BUCKET, F.pmod(F.xxhash64(F.lit("part"), self.key), F.lit(16)))
+        dealt = rows.withColumn(BUCKET, self.bucket(buckets)).withColumn(PART, F.pmod(F.xxhash64(F.lit("part"), self.key), F.lit(16))).repartition(BUCKET, PART)
+        if pick:
+            dealt = pick(dealt, (BUCKET, PART))
+        dealt = dealt.drop(PART).observe(seen, F.count(F.lit(1)).alias("rows"))
         sorted_ = dealt.sortWithinPartitions(BUCKET, *self.parts, *self.sort)
         sorted_.write.partitionBy(BUCKET, *self.parts).option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(f"{self.path}/{name}")
         return {"folder": name, "rows": observed(seen, "rows"), "buckets": buckets}
 
     def _newest(self, runs: list[DataFrame]) -> DataFrame:
         """The row, or the mark, of each key in the newest run that has it."""
-        if len(runs) == 1:
-            return runs[0]
+        return runs[0] if len(runs) == 1 else self._first(self._all(runs))
+
+    def _all(self, runs: list[DataFrame]) -> DataFrame:
         both = None
         for number, rows in enumerate(runs):
             rows = rows.withColumn("_run", F.lit(number))
             both = rows if both is None else both.unionByName(rows)
-        rank = F.row_number().over(Window.partitionBy(self.key).orderBy(F.desc("_run")))
+        return both
+
+    def _first(self, both: DataFrame, dealt: tuple[str, ...] = ()) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*dealt, self.key).orderBy(F.desc("_run")))
         return both.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_run")
 
     def _held(self, rows: DataFrame) -> DataFrame:
@@ -226,10 +234,12 @@ class LevelledTable:
             start = len(runs) - 1
         if start is None:
             return
-        merged = self._newest([self._run(r) for r in runs[start:]]).drop(BUCKET)
-        if start == 0:
-            merged = merged.where(f"NOT {GONE}")
-        run = self._write(merged, sum(r["rows"] for r in runs[start:]))
+
+        def pick(rows: DataFrame, dealt: tuple[str, ...]) -> DataFrame:
+            rows = self._first(rows, dealt)
+            return rows.where(f"NOT {GONE}") if start == 0 else rows
+
+        run = self._write(self._all([self._run(r) for r in runs[start:]]).drop(BUCKET), sum(r["rows"] for r in runs[start:]), pick)
         try:
             self._commit(number + 1, [*runs[:start], run])
         except RuntimeError:

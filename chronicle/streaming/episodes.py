@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chronicle.operators import episodes
 from chronicle.operators.levels import LevelledTable
-from chronicle.operators.temporal import overlaps
+from chronicle.operators.temporal import UNIT, overlaps
 from chronicle.operators.upsert import EventTable
 from chronicle.tables import materialize
 
@@ -66,9 +66,10 @@ class LateEpisodes:
             ends = places.agg(F.min("start_utc"), F.max("end_utc")).first()
             if ends[0] is None:
                 return
+            unit = max(UNIT, int(self.gap_minutes * 60_000_000))  # a thread's episodes begin further apart, so few meet in a slot, and an event is a row in few levels
             # Statistics of the files leave out the episodes before and after all places, and so below for events.
             near = self.table.read().where((F.col("end_utc") >= F.lit(ends[0])) & (F.col("start_utc") <= F.lit(ends[1])))
-            touched = materialize(overlaps(near, places, by=("thread_id",)).select("a.*").dropDuplicates(["episode_id"]), "touched")
+            touched = materialize(overlaps(near, places, by=("thread_id",), unit=unit).select("a.*").dropDuplicates(["episode_id"]), "touched")
             reach = touched.agg(F.min("start_utc"), F.max("end_utc")).first()
             new = self.events.latest(batch.withColumn("_gone", F.lit(False))).select("id", "thread_id", "t_utc", "ingest_seq", "author_role")
             if reach[0] is None:
@@ -76,7 +77,7 @@ class LateEpisodes:
             else:
                 held = self.events.read().select(*new.columns).where(F.col("t_utc").between(F.lit(reach[0]), F.lit(reach[1])))
                 points = held.withColumns({"start_utc": F.col("t_utc"), "end_utc": F.col("t_utc")})
-                inside = overlaps(points, touched.select("thread_id", "start_utc", "end_utc"), by=("thread_id",)).select(*[F.col(f"a.{c}") for c in new.columns])
+                inside = overlaps(points, touched.select("thread_id", "start_utc", "end_utc"), by=("thread_id",), unit=unit).select(*[F.col(f"a.{c}") for c in new.columns])
                 rows = inside.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
             cut = episodes.gathered(episodes.numbered_in_days(rows, self.gap_minutes))
             made = materialize(cut.select(*self.table.columns), "episodes")

@@ -134,3 +134,14 @@ def test_events_by_id(spark, tmp_path):
     assert table.lookup("e2").first().content == "new" and table.lookup("e7").first().content == "old"
     assert upsert.by_source(table.read(), "chat").count() == 15
     assert "source" in plan(table.read().where("source = 'app'")).split("PartitionFilters: [")[1][:200]
+
+
+def test_rows_of_merged_runs_move_once(spark, tmp_path, monkeypatch):
+    """The newest row of a key is picked where the rows were dealt to, so one exchange leads to the merged run's files."""
+    table, picked = made(spark, tmp_path / "t"), []
+    real = table._first
+    monkeypatch.setattr(table, "_first", lambda *a: picked.append(real(*a)) or picked[-1])
+    table.add(rows(spark, [(str(k), k) for k in range(50)]))
+    table.add(rows(spark, [(str(k), k + 100) for k in range(60)]))
+    assert len(picked) == 1 and picked[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r.v for r in table.read().collect()) == list(range(100, 160))
